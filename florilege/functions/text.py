@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -138,17 +139,21 @@ def round_robin(position: Column, n: int) -> Column:
     return F.pmod(position, F.lit(n))
 
 
+def _once(found: re.Match[str]) -> str:
+    """A run of characters as the UTF-8 that it was read from, if it is that."""
+    try:
+        return found[0].encode("cp1252").decode("utf-8")
+    except UnicodeError:
+        return found[0]
+
+
 def mends(text: str | None) -> str | None:
     """A text with character references resolved, one layer of UTF-8 read as Windows-1252 undone, quotes straightened,
     control characters gone, in NFC, without blanks at its ends."""
     if text is None:
         return None
     out = html.unescape(text) if "<" not in text else text
-    if any("Â" <= c <= "ô" for c in out):
-        try:
-            out = out.encode("cp1252").decode("utf-8")
-        except UnicodeError:
-            pass
+    out = re.sub("[Â-ô][^\x00-\x7f]{1,3}", _once, out)
     out = out.translate({0x2018: "'", 0x2019: "'", 0x201C: '"', 0x201D: '"', 0xFB01: "fi", 0xFB02: "fl", 0xFEFF: None})
     out = "".join(c for c in out if c in "\t\n\r" or unicodedata.category(c) != "Cc")
     return unicodedata.normalize("NFC", out).strip()
