@@ -165,7 +165,6 @@ def quotas(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """The mix itself: every row of documents as often as it is taken, all columns, with _mix_shard and _mix_order."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = written(taken(written(lean(docs), "lean")).select(F.col("s").alias("source"), "doc_id", "h", "whole", "more", "extra", "times", "taken_blocks"), "taken")
     deal = written(quotas(rows, shards), "quotas")
     # Copy c of a row is in draw c * BLOCKS + the place of its block in the permutation of that pass; the last pass is in order.
@@ -175,8 +174,10 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     copies = whole.unionByName(rest).withColumnsRenamed({"source": "_s", "doc_id": "_d", "h": "_h"})
     placed = copies.join(deal, _same(F.col("_s"), F.col("source")) & (copies["draw"] == deal["draw"])).select("_d", "_h", "copy", "shard")
     placed = placed.groupBy("_d", "_h").agg(F.sort_array(F.collect_set(F.struct("copy", "shard"))).alias("_copies"))
-    own = docs.withColumn("_h", _hash("doc_id", F.coalesce(F.col("text"), F.lit("")))).withColumn("_id", F.col("doc_id"))
-    out = own.join(placed, (own["_h"] == placed["_h"]) & _same(own["_id"], placed["_d"])).select(*columns, own["_h"], F.explode("_copies").alias("_c"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    own = docs.select(row, _hash("doc_id", F.coalesce(F.col("text"), F.lit(""))).alias("_h"), F.col("doc_id").alias("_id"))
+    out = own.join(placed.withColumnRenamed("_h", "_g"), (F.col("_h") == F.col("_g")) & _same(F.col("_id"), F.col("_d"))).select("_row", "_h", F.explode("_copies").alias("_c"))
+    columns = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
     return out.select(*columns, F.col("_c.shard").alias("_mix_shard"), _hash("_c.shard", "_c.copy", "_h").alias("_mix_order"))
 
 

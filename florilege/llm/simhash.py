@@ -243,5 +243,7 @@ def representatives(df: DataFrame) -> DataFrame:
     kept = by_fp.join(linked, "fp").groupBy("root").agg(F.min("best").alias("best"))
     keys = ["_none", "_id", "_text"]
     kept = kept.select(F.col("best.none").alias("_none"), F.coalesce("best.doc_id", F.lit(0)).alias("_id"), F.col("best.text_key").alias("_text"))
-    rows = df.withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id"), F.lit(0)).cast("long"), "_text": F.xxhash64("text")})
-    return rows.join(kept, keys).dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in df.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    rows = df.select(row, F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("_id"), F.xxhash64("text").alias("_text"))
+    once = rows.join(kept, keys).dropDuplicates(keys)
+    return once.select(*[F.col(f"_row.`{c}`").alias(c) for c in df.columns])
