@@ -53,7 +53,8 @@ def tag(pos: Column, lower: Column) -> Column:
 def rule_annotator(rows: DataFrame) -> DataFrame:
     """toks and ents for rows with tokens. The root is the first auxiliary or verb, else the first token; the last noun
     or pronoun before it is its subject; all tokens hang from the root. Capitals within a sentence are entities."""
-    words = F.transform("tokens", lambda t, i: F.struct(i.cast("int").alias("i"), t.alias("text"), F.lower(t).alias("lower"), part_of_speech(F.lower(t), t, i).alias("pos")))
+    lower = F.zip_with(F.col("tokens"), F.transform("tokens", F.lower), lambda t, low: F.struct(t.alias("t"), low.alias("l")))
+    words = F.transform(lower, lambda x, i: F.struct(i.cast("int").alias("i"), x["t"].alias("text"), x["l"].alias("lower"), part_of_speech(x["l"], x["t"], i).alias("pos")))
     rows = rows.withColumn("_w", words)
     root = F.coalesce(F.array_min(F.transform(F.filter("_w", lambda t: t["pos"].isin("AUX", "VERB")), lambda t: t["i"])), F.lit(0))
     rows = rows.withColumn("_root", root)

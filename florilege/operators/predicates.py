@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from florilege.config import Settings
+from florilege.functions.text import let
 
 Predicate = Callable[[Settings], Column]
 
@@ -74,11 +75,11 @@ PREDICATES: dict[str, Predicate] = {
     "has-no-bad-first-word": lambda s: _yes(~_in(first()["lower"], s.bad_first_words)),
     "first-word-is-not-verb": lambda s: _yes(first()["pos"] != "VERB"),
     "first-word-is-not-conjunction": lambda s: _yes(~first()["pos"].isin("CCONJ", "SCONJ")),
-    "noun-exists-before-root": lambda s: _any(lambda t: t["pos"].isin("NOUN", "PROPN") & (t["i"] < root()["i"])),
+    "noun-exists-before-root": lambda s: let(root()["i"], lambda r: _any(lambda t: t["pos"].isin("NOUN", "PROPN") & (t["i"] < r))),
     "has-no-digits": lambda s: ~_text().rlike(DIGIT),
     "all-propn-have-acceptable-ne-labels": lambda s: _yes(F.forall(F.coalesce(F.col("ents"), F.expr("array()").cast("array<struct<start:int,end:int,text:string,label:string>>")), lambda e: ~_in(e["label"], s.excluded_entities))),
     "has-no-pronouns": lambda s: ~_any(lambda t: _in(t["lower"], s.pronouns) & (t["pos"] == "PRON")),
-    "root-has-nsubj-or-nsubjpass": lambda s: _any(lambda t: t["dep"].isin("nsubj", "nsubjpass") & (t["head"] == root()["i"])),
+    "root-has-nsubj-or-nsubjpass": lambda s: let(root()["i"], lambda r: _any(lambda t: t["dep"].isin("nsubj", "nsubjpass") & (t["head"] == r))),
     "has-no-email": lambda s: ~_any(lambda t: t["like_email"]),
     "dot_dot": _lacks(".."),
     "www": _lacks("www"),
