@@ -135,3 +135,29 @@ def alias_counts(aliases: DataFrame) -> DataFrame:
 
 def nodes_by_alias(aliases: DataFrame, alias: str) -> DataFrame:
     return aliases.filter(F.col("alias") == alias.lower().strip())
+
+
+def place_groups(places: DataFrame, hierarchy: DataFrame, admin: DataFrame | None = None, alternates: DataFrame | None = None, processed: DataFrame | None = None, raw: DataFrame | None = None, root: str = EARTH) -> tuple[DataFrame, DataFrame]:
+    """Nodes and aliases (alias, node_id, population, level) of a place hierarchy, from the tables that sources.files reads.
+
+    processed demonyms are pairs (node id, demonym); raw ones (demonym, place) are used where no processed ones are given.
+    """
+    nodes = written(place_tree(places, parents(places, hierarchy, admin), root), "nodes")
+    own = places.select(F.col("geonameid").alias("node_id"), F.concat(F.array("name", "asciiname"), "alternatenames").alias("names"))
+    rows = nodes.join(own, "node_id")
+    if alternates is not None:
+        nodes = short_names(nodes, alternates)
+        more = alternates_of(nodes, alternates).withColumnRenamed("names", "_more")
+        rows = nodes.join(own, "node_id").join(more, "node_id", "left").withColumn("names", F.concat("names", F.coalesce("_more", F.array().cast("array<string>")))).drop("_more")
+    none = F.array().cast("array<string>")
+
+    def entries(rows: DataFrame) -> DataFrame:
+        return rows.select(F.explode(alias_sets(F.col("names"), F.coalesce("demonyms", none))).alias("alias"), "node_id", "population", "level")
+
+    given = None
+    if processed is not None:
+        given = processed.groupBy(F.col("key").alias("node_id")).agg(F.collect_set("value").alias("demonyms"))
+    elif raw is not None:
+        given = attach_demonyms(entries(rows.withColumn("demonyms", none)), raw)
+    rows = rows.withColumn("demonyms", none) if given is None else rows.join(given, "node_id", "left")
+    return nodes.select("node_id", "parent_id", "level", "name", "short_name", F.col("population").cast("bigint").alias("population")), entries(rows)

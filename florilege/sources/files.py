@@ -61,7 +61,8 @@ def flat_tree(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _tabs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A file of tab-separated columns without header or quotes; a line with another number of columns is an error."""
-    return spark.read.csv(path, sep="\t", schema=schema, quote="", mode="FAILFAST", enforceSchema=True).na.fill("")
+    rows = spark.read.csv(path, sep="\t", schema=schema, quote="", mode="FAILFAST").na.fill("")
+    return rows.select(*[F.trim(c).alias(c) for c in rows.columns])
 
 
 def places(spark: SparkSession, path: str) -> DataFrame:

@@ -60,3 +60,20 @@ def test_alternates_round_trip(spark, tmp_path):
     files.write_alternate_names(alternates, str(tmp_path / "out"))
     again = files.alternate_names(spark, str(tmp_path / "out")).drop("line")
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, alternates.drop("line").collect()))
+
+
+def test_place_groups(spark, tmp_path):
+    places = [EARTH, place("1", "Asia", "CONT"), place("2", "Japan", "PCLI", population="100", alternates="Nippon,"), place("3", "Japan", "PPL", population="2000")]
+    (tmp_path / "p.tsv").write_text("\n".join(places))
+    (tmp_path / "h.tsv").write_text(f"{tree.EARTH}\t1\tA\n1\t2\tA\n2\t3\tA\n")
+    (tmp_path / "alt.tsv").write_text("1\t2\ten\tLand of Japan\t1\t\t\t\t\t\n")
+    (tmp_path / "raw.json").write_text('{"Japanese": ["Nippon"], "Nipponer": ["japan"]}')
+    (tmp_path / "done.json").write_text('{"3": ["Townsman"]}')
+    read = lambda n: files.demonyms(spark, str(tmp_path / n))
+    tables = (files.places(spark, str(tmp_path / "p.tsv")), files.hierarchy(spark, str(tmp_path / "h.tsv")))
+    nodes, aliases = tree.place_groups(*tables, alternates=files.alternate_names(spark, str(tmp_path / "alt.tsv")), raw=read("raw.json"))
+    assert {r.node_id: r.short_name for r in nodes.collect()}["2"] == "Land of Japan"
+    own = lambda t, n: {r.alias for r in t.filter(f"node_id = '{n}'").collect()}
+    assert own(aliases, "2") == {"japan", "nippon", "land of japan", "japanese"}
+    assert own(aliases, "3") == {"japan", "nipponer", "nipponers"}  # the larger of two places of one name
+    assert own(tree.place_groups(*tables, processed=read("done.json"))[1], "3") == {"japan", "townsman", "townsmen"}
