@@ -31,6 +31,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def bounded_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
+    """At most `most` rows of df, the same on each run: those whose keys hash lowest, but for rows left out by a threshold
+    on the hash that lets a tenth more than `most` pass, so that tasks send on only what may be chosen."""
+    n = df.count()
+    if n <= most:
+        return df
+    order = F.xxhash64(*keys)
+    near = F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * most / n + 1e-6))
+    return df.filter(near).orderBy(F.pmod(order, F.lit(1 << 30)), order, *keys).limit(most)
+
+
 def map_rows(df: DataFrame, function: Callable[[list[list]], list[list]], ddl: str) -> DataFrame:
     """df through function(columns) -> columns, by Arrow batches: lists of Python values in and out."""
     prepare(df.sparkSession)

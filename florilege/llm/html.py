@@ -24,7 +24,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from florilege.llm.common import map_rows
+from florilege.llm.common import bounded_sample, map_rows
 
 SAMPLE = 2_000
 KEYS = 4_096  # learned keys that are kept, the commonest first
@@ -229,9 +229,9 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 
 def train(df: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
-    """Weights from at most `sample` labelled pages: those with the lowest hashes, so that reruns agree."""
+    """Weights from at most `sample` labelled pages: chosen by hash, so that reruns agree."""
     labelled = df.select("html").filter(F.col("html").rlike(r"(?i)<(article|main)\b"))
-    chosen = labelled.orderBy(F.xxhash64("html"), "html").limit(sample)
+    chosen = bounded_sample(labelled, sample, "html")
 
     def run(columns: list[list]) -> list[list]:
         _, seen = count(columns[0])

@@ -8,7 +8,7 @@ Grades from labels: 0 toxic, 1 not toxic and of low quality, 2 not toxic and of
 with a null id, or both ratings null, rate nothing; one null rating counts as 0. Of several ratings of a document
 the lowest counts.
 
-Fitting takes at most SAMPLE rated documents, those whose ids hash lowest (a documented bound). All documents
+Fitting takes at most SAMPLE rated documents, chosen by a hash of the id (a documented bound). All documents
 are scored, whole. Null and empty texts have no features: z = 0. Repeated rows get equal results. With no rated
 document the model has weights 0. Other columns are ignored.
 """
@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from florilege.llm.common import map_rows
+from florilege.llm.common import bounded_sample, map_rows
 
 SAMPLE, BUCKETS, GRADES = 8_000, 1 << 16, 3
 #: Documents whose probability of the highest grade reaches this are kept.
@@ -120,7 +120,7 @@ def rated(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` rated documents."""
-    chosen = rated(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = bounded_sample(rated(labels), sample, "doc_id")
     text = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows of two numbers
 
     def run(columns: list[list]) -> list[list]:
