@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from florilege.functions.text import repaired, sentences, surface, unit
+from florilege.functions.text import let, repaired, sentences, surface, unit
 
 #: The closed word classes of the rule tagger.
 CLASSES = {
@@ -59,14 +59,14 @@ def rule_annotator(rows: DataFrame) -> DataFrame:
     root = F.coalesce(F.array_min(F.transform(F.filter("_w", lambda t: t["pos"].isin("AUX", "VERB")), lambda t: t["i"])), F.lit(0))
     rows = rows.withColumn("_root", root)
     subject = F.array_max(F.transform(F.filter("_w", lambda t: t["pos"].isin("NOUN", "PROPN", "PRON") & (t["i"] < F.col("_root"))), lambda t: t["i"]))
-    rows = rows.withColumn("_subject", F.coalesce(subject, F.lit(-1)))
 
-    def token(t: Column) -> Column:
-        dep = F.when(t["i"] == F.col("_root"), "ROOT").when(t["i"] == F.col("_subject"), "nsubj").otherwise("dep")
+    def token(t: Column, at: Column) -> Column:
+        dep = F.when(t["i"] == F.col("_root"), "ROOT").when(t["i"] == at, "nsubj").otherwise("dep")
         return F.struct(t["i"].alias("i"), t["text"].alias("text"), t["lower"].alias("lower"), t["pos"].alias("pos"), tag(t["pos"], t["lower"]).alias("tag"), dep.alias("dep"), F.col("_root").cast("int").alias("head"), (F.trim(t["text"]) == "").alias("is_space"), t["text"].rlike(r"^[\w.+-]+@[\w-]+\.\w").alias("like_email"))
 
     ents = F.transform(F.filter("_w", lambda t: t["pos"] == "PROPN"), lambda t: F.struct(t["i"].alias("start"), (t["i"] + 1).cast("int").alias("end"), t["text"].alias("text"), F.when(t["lower"].rlike("(ans?|ese|ish)$"), "NORP").otherwise("GPE").alias("label")))
-    return rows.withColumns({"toks": F.transform("_w", token), "ents": ents}).drop("_w", "_root", "_subject")
+    toks = let(F.coalesce(subject, F.lit(-1)), lambda at: F.transform("_w", lambda t: token(t, at)))  # once a sentence, not once a token
+    return rows.withColumns({"toks": toks, "ents": ents}).drop("_w", "_root")
 
 
 def lexicon_scorer(lexicons: dict[str, list[str]]) -> Callable[[DataFrame], DataFrame]:

@@ -12,7 +12,7 @@ from florilege import schemas
 from florilege.config import GEONAMES, OCCUPATIONS
 from florilege.functions import text as T
 from florilege.operators import annotate, clusters, joins, matching, predicates, ranking, tree, values, vectors
-from florilege.runtime import prepare, shared_dir, table, written
+from florilege.runtime import prepare, shared_dir, spread, table, written
 from florilege.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +50,7 @@ m AS (SELECT doc_id, sent_i, node_id, gram AS match_text, match_start::INT AS ma
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_i", "text"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_i", "text"))
 
 
 @query(f"WITH {SENT_SQL} SELECT doc_id, sent_i, text FROM s")
@@ -60,7 +60,7 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT token, count(*) AS n FROM (SELECT unnest({WORDS_SQL}) AS token FROM documents) GROUP BY token")
 def token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return spread(table(spark, sf_dir, "documents")).select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {SENT_SQL} SELECT word, count(*) AS n FROM (SELECT ({SURFACE_SQL})[1] AS word FROM s) GROUP BY word")
@@ -548,14 +548,14 @@ kp AS (SELECT conv_id, n, gram, cnt FROM cn JOIN sz USING (conv_id) WHERE cnt /
 @query(f"""WITH {CONCEPT_SQL} SELECT conv_id, list(gram ORDER BY cnt DESC, n, gram) AS concepts FROM kp a
 WHERE NOT EXISTS (SELECT 1 FROM kp b WHERE a.conv_id = b.conv_id AND b.n > a.n AND contains(' ' || b.gram || ' ', ' ' || a.gram || ' ')) GROUP BY conv_id""")
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", T.surface(F.col("text")).alias("tokens"))
+    rows = spread(table(spark, sf_dir, "conversations")).select("conv_id", T.surface(F.col("text")).alias("tokens"))
     return ranking.concepts(rows, ["conv_id"], GEONAMES, ascii_only=False)
 
 
 @query(f"""WITH {CONCEPT_SQL}, e AS (SELECT conv_id, gram, 'g' || conv_id % 5 AS subject FROM kp), sp AS (SELECT gram FROM e GROUP BY gram HAVING count(DISTINCT subject) / 5.0 < 0.6)
 SELECT conv_id AS id, count(*) AS n FROM e JOIN sp USING (gram) WHERE gram NOT IN {LISTED(values.BAD_CONCEPTS['food'])} GROUP BY 1""")
 def concept_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", T.surface(F.col("text")).alias("tokens"))
+    rows = spread(table(spark, sf_dir, "conversations")).select("conv_id", T.surface(F.col("text")).alias("tokens"))
     each = F.flatten(F.array(*[T.concept_grams(F.col("tokens"), n) for n in (1, 2, 3)]))
     sizes = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_sentences"))
     grams = rows.select("conv_id", F.explode(each).alias("g")).groupBy("conv_id", "g").agg(F.count(F.lit(1)).alias("c")).join(sizes, "conv_id").filter("c / n_sentences >= 0.6")
