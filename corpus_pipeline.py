@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from florilege.llm import bpe, linededup, mixing, quality, simhash
 from florilege.llm.registry import vocabulary
-from florilege.runtime import table, written
+from florilege.runtime import spread, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

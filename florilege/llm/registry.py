@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from florilege.llm import bpe, hilbert, html, linededup, media, mixing, ordinal, quality, simhash, tokencount
-from florilege.runtime import table
+from florilege.runtime import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,46 +19,50 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return ordinal.select(docs, ordinal.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.verdicts(table(spark, sf_dir, "documents"))
+    return quality.verdicts(_documents(spark, sf_dir))
 
 
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"))
     return html.main_text(pages, html.train(pages))
 
 
 def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return bpe.digests(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hilbert.assigned(table(spark, sf_dir, "documents"))
+    return hilbert.assigned(_documents(spark, sf_dir))
 
 
 def op6_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents"))
+    return mixing.mixed(_documents(spark, sf_dir))
 
 
 def op7_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(table(spark, sf_dir, "documents"))
+    return media.digests(_documents(spark, sf_dir))
 
 
 def op8_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.digests(table(spark, sf_dir, "documents"))
+    return linededup.digests(_documents(spark, sf_dir))
 
 
 def op9_simhash_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.groups(table(spark, sf_dir, "documents"))
+    return simhash.groups(_documents(spark, sf_dir))
 
 
 def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.by_document(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+    return tokencount.by_document(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ordinal_quality, op2_line_frequency, op3_main_text, op4_bpe_automaton, op5_hilbert_shards, op6_hypergeometric_mix, op7_transport_stream, op8_template_lines, op9_simhash_tries, op10_section_tokens)}
