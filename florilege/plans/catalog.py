@@ -12,7 +12,7 @@ from florilege import schemas
 from florilege.config import GEONAMES, OCCUPATIONS
 from florilege.functions import text as T
 from florilege.operators import annotate, clusters, joins, matching, predicates, ranking, tree, values, vectors
-from florilege.runtime import prepare, shared_dir, spread, table, written
+from florilege.runtime import prepare, scratch, spread, table, written
 from florilege.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,9 +205,7 @@ def alias_after_the(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch(spark, name)}/table"
 
 
 @query("SELECT text, source AS timestamp, CASE WHEN doc_id % 2 = 0 THEN lang END AS url FROM documents")
