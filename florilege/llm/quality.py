@@ -139,32 +139,47 @@ def _limits(docs: DataFrame) -> DataFrame:
     return written(found.groupBy(F.col("source").alias("_source")).agg(F.collect_list("hash").alias("_above")), "limits")
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """docs with the base columns, n_words_left, kept and `_clean`, the text without boilerplate (null where nothing was removed)."""
+def _with_limits(docs: DataFrame) -> DataFrame:
+    """docs with the base columns and `_above`, the host's boilerplate."""
     limits = _limits(docs)
-    rows = base(docs).join(limits, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    return base(docs).join(limits, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+
+
+def _cleaned() -> Column:
+    """The text without boilerplate; null where the host has none."""
 
     def stays(line: Column) -> Column:
         return ~F.array_contains(F.col("_above"), F.coalesce(line_hash(line), F.lit(-1)))
 
     lines = F.filter(F.split(_body(F.col("text")), "\n"), lambda line: (F.btrim(line, F.lit(BLANKS)) == "") | stays(line))
-    rows = rows.withColumn("_clean", F.when(F.col("_above").isNotNull(), F.array_join(lines, "\n")))
-    rows = rows.withColumn("n_words_left", F.when(F.col("_clean").isNull(), F.col("n_words")).otherwise(F.size(words(F.col("_clean"))).cast("long")))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") >= LEFT * F.col("n_words"))).drop("_above")
+    return F.when(F.col("_above").isNotNull(), F.array_join(lines, "\n"))
+
+
+def _left(text: Column) -> Column:
+    """The words of a cleaned text."""
+    return F.when(text.isNull(), F.col("n_words")).otherwise(F.size(words(text)).cast("long"))
+
+
+def _kept(left: Column) -> Column:
+    return ~F.col("base_failed") & (left >= LEFT * F.col("n_words"))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and n_words_left of every row."""
-    own = docs.select("doc_id", "text", "source")
-    return judged(own).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left")
+    rows = _with_limits(docs.select("doc_id", "text", "source")).withColumn("n_words_left", _left(_cleaned()))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", _kept(F.col("n_words_left")).alias("kept"), "n_words_left")
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their boilerplate removed and n_chars brought up to date; all columns as before."""
-    rows = judged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", "source"))
-    text = F.coalesce("_clean", "text")
-    columns = {"text": text, "n_chars": F.length(text).cast("long")}
-    return rows.filter("kept").select(*[columns.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    apart = [c for c in docs.columns if c not in ("text", "source")]
+    rest = F.struct(*[F.col(f"`{c}`") for c in apart]) if apart else F.lit(None)
+    rows = _with_limits(docs.select(rest.alias("_rest"), "text", "source"))
+    # Rejected rows leave through an empty array: a filter would be pushed below the join, and count each text again for each of its terms.
+    kept = let(_cleaned(), lambda t: F.when(_kept(_left(t)), F.array(F.coalesce(t, F.col("text")))).otherwise(F.array().cast("array<string>")))
+    rows = rows.select("_rest", "source", F.explode(kept).alias("_text"))
+    columns = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long"), "source": F.col("source")}
+    return rows.select(*[columns.get(c, F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 VERDICTS_SQL = rf"""
