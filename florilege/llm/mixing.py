@@ -17,8 +17,8 @@ counts by source follow the multivariate hypergeometric law. A source's draws ar
 and the shards take disjoint runs of them. The documents of a block follow it, and are put in order within their
 shard by a seeded hash.
 
-Only counts by block and by source are ever gathered (BLOCKS a source and level); documents are summed within
-blocks before any shuffle, so that a hot source is BLOCKS rows a task. Reruns agree: all draws are seeded hashes.
+Documents are summed within blocks before any shuffle, so that a hot source is BLOCKS rows a task; sources and
+draws are ranked by ranges and pieces, never in one task. Reruns agree: all draws are seeded hashes.
 
 Null and empty texts have size 0 and take part. A source of size 0 has target 0. Null ids and repeated rows are
 rows like any other; rows equal in id and text are taken together, or apart where a rest ends among them. An
@@ -48,13 +48,21 @@ def lean(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), _hash("doc_id", text).alias("h"))
 
 
+def _ordered(sizes: DataFrame) -> DataFrame:
+    """sizes with place, from 0, in order of code points, null last: ranges in order, numbered within, after the rows of the ranges before."""
+    keys = [F.col("source").isNull(), F.encode("source", "UTF-8")]
+    dealt = written(sizes.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()), "ranges")
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    before = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(*keys)) - 1
+    return dealt.withColumn("own", own).join(before, "range").withColumn("place", F.col("before") + F.col("own")).drop("range", "own", "before")
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """source, source_size and target, from source and source_size. The search for the level is a loop over sums."""
     total = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    order = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))  # a row for each source
-    rank = (F.row_number().over(order) - 1) % len(WEIGHTS)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), rank + 1)
-    own = written(sizes.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * CAP).alias("most")), "weights")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("place") % len(WEIGHTS)).cast("int") + 1)
+    own = written(_ordered(sizes).select("source", "source_size", weight.alias("weight"), (F.col("source_size") * CAP).alias("most")), "weights")
     level, full = 0.0, -1
     while True:  # each round caps the sources above their most; it ends when none is new
         capped = F.col("most") <= level * F.col("weight")
@@ -144,18 +152,27 @@ def quotas(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """source, draw (a number within the source) and shard: the splitting tree over the draws of all sources.
 
     A node splits its draws by rank of a seeded hash, of which the left child takes its exact share: the counts by source
-    are a multivariate hypergeometric draw. Nodes are numbered like a heap; a level is one window over its nodes."""
+    are a multivariate hypergeometric draw. Nodes are numbered like a heap. Ranks are counts of the draws of lower hash
+    in PIECES pieces of a node, and numbers within a piece, so that no node is one task."""
     state = rows.groupBy("source").agg(F.max("whole").alias("whole"), F.max("taken_blocks").alias("extra_blocks"))
     n = F.col("whole") * BLOCKS + F.col("extra_blocks") + 1  # the last draw is the block in which the rest ends
     draws = state.select("source", F.explode(F.sequence(F.lit(0), n - 1)).alias("draw")).withColumns({"node": F.lit(1), "lo": F.lit(0), "hi": F.lit(shards)})
     left, wide = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int"), F.col("hi") - F.col("lo") > 1
     for level in range((shards - 1).bit_length()):
-        node = Window.partitionBy("node")
-        rank = F.row_number().over(node.orderBy(_hash(F.lit(level), "node", "source", "draw"), "source", "draw"))
-        quota = F.floor(F.count(F.lit(1)).over(node) * (left - F.col("lo")) / (F.col("hi") - F.col("lo")))
-        draws = draws.withColumn("goes_left", rank <= quota).withColumns(
-            {"lo": F.when(wide & ~F.col("goes_left"), left).otherwise(F.col("lo")), "hi": F.when(wide & F.col("goes_left"), left).otherwise(F.col("hi")), "node": F.when(wide, F.col("node") * 2 + F.when(F.col("goes_left"), 0).otherwise(1)).otherwise(F.col("node"))}
-        )
+        hashed = draws.withColumn("u", _hash(F.lit(level), "node", "source", "draw")).withColumn("piece", F.shiftrightunsigned("u", 54).cast("int"))
+        pieces = hashed.groupBy("node", "piece").agg(F.count(F.lit(1)).alias("n"))
+        upto = Window.partitionBy("node").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+        pieces = pieces.select("node", "piece", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("node")).alias("all"))
+        own = F.row_number().over(Window.partitionBy("node", "piece").orderBy("u", "source", "draw"))
+        ranked = hashed.withColumn("own", own).join(pieces, ["node", "piece"])
+        quota = F.floor(F.col("all") * (left - F.col("lo")) / (F.col("hi") - F.col("lo")))
+        goes_left = F.col("before") + F.col("own") <= quota
+        draws = ranked.select(
+            "source", "draw",
+            F.when(wide, F.col("node") * 2 + F.when(goes_left, 0).otherwise(1)).otherwise(F.col("node")).alias("node"),
+            F.when(wide & ~goes_left, left).otherwise(F.col("lo")).alias("lo"), F.when(wide & goes_left, left).otherwise(F.col("hi")).alias("hi"),
+        )
+        draws = written(draws, "draws")
     # The tree fixes how many draws of a source each shard gets; its blocks, in permuted order, are dealt to shards by runs.
     held = draws.groupBy("source", F.col("lo").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
