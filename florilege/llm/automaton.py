@@ -76,6 +76,9 @@ class Automaton:
             found = self._known[key] = self._has(self.target[before], token)
         return found
 
+    def forget(self) -> None:
+        self._known.clear()
+
     def encode(self, word: str) -> list[int]:
         """The arc labels on the run of a word of base symbols."""
         n, inner, final, longest, follows = len(word), self.inner, self.final, self.longest, self.follows

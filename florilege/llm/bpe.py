@@ -58,6 +58,10 @@ class Encoder:
         self.known[piece] = got
         return got
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+        self.automaton.forget()
+
     def text(self, text: str | None) -> tuple[str, str, int]:
         """Added tokens stay whole; what is between them is normalised (lower case by code point: no final sigma) and cut."""
         text = text or ""
@@ -102,8 +106,9 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     return map_rows(df.select(F.col(id_col), F.col(text_col)), run, f"`{id_col}` {kind}, ids array<int>, decoded string")
 
 
-def digests(df: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of documents."""
+def digests(df: DataFrame, path: str, release: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of documents. With release, workers drop their tables at the
+    end of each partition: slower, but other stages that share the executors have the memory."""
     content = _load(df, path)
 
     def run(columns: list[list]) -> list[list]:
@@ -111,4 +116,4 @@ def digests(df: DataFrame, path: str) -> DataFrame:
         got = [coder.text(t) for t in columns[1]]
         return [columns[0], [g[2] for g in got], [sha(g[0].encode()).hexdigest() for g in got], [sha(g[1].encode()).hexdigest() for g in got]]
 
-    return map_rows(df.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_rows(df.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", (lambda: encoder(content.value).forget()) if release else None)

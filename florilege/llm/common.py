@@ -42,8 +42,9 @@ def bounded_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
     return df.filter(near).orderBy(F.pmod(order, F.lit(1 << 30)), order, *keys).limit(most)
 
 
-def map_rows(df: DataFrame, function: Callable[[list[list]], list[list]], ddl: str) -> DataFrame:
-    """df through function(columns) -> columns, by Arrow batches: lists of Python values in and out."""
+def map_rows(df: DataFrame, function: Callable[[list[list]], list[list]], ddl: str, after: Callable[[], None] | None = None) -> DataFrame:
+    """df through function(columns) -> columns, by Arrow batches: lists of Python values in and out. after runs when a
+    partition is done; workers outlive their tasks, so what they keep is memory that later stages lack."""
     prepare(df.sparkSession)
     schema: StructType = _parse_ddl(df.sparkSession, ddl)
     arrow = to_arrow_schema(schema)
@@ -53,6 +54,9 @@ def map_rows(df: DataFrame, function: Callable[[list[list]], list[list]], ddl: s
             if batch.num_rows:
                 out = function([column.to_pylist() for column in batch.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, arrow)], schema=arrow)
+        if after:
+            after()
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -41,6 +41,10 @@ def _hashed(chunk: str) -> tuple[int, ...]:
     return got
 
 
+def _forget() -> None:
+    _KNOWN.clear()
+
+
 def features(text: str | None) -> list[int]:
     """Sorted buckets of the distinct tokens of a text, in lower case."""
     found: set[int] = set()
@@ -142,4 +146,4 @@ def select(docs: DataFrame, model: Model, tail: float = TAIL) -> DataFrame:
         high = np.round(above[:, -1], 9)
         return [columns[0], np.round(above.sum(axis=1), 9).tolist(), high.tolist(), (high >= tail).tolist()]
 
-    return map_rows(docs.select("doc_id", "text"), run, "doc_id long, expected_grade double, tail_probability double, kept boolean")
+    return map_rows(docs.select("doc_id", "text"), run, "doc_id long, expected_grade double, tail_probability double, kept boolean", _forget)
