@@ -4,10 +4,12 @@ Base rules count within a document. The method then counts, for each host (`sour
 documents each normalised line stands. Lines above the limit (at least MIN_DOCS documents and SHARE of the
 host's) are boilerplate and removed; a document that keeps less than LEFT of its words is rejected.
 
-Documents are told apart by a signature: the two lowest line hashes among their *other* lines. Exact copies have
-one signature, near copies few, so a text that was copied many times does not turn its own lines into
-boilerplate; that is left to near-duplicate detection. A document of a single line has the line itself as text,
-so its copies count once too.
+Documents are distinct texts, so exact copies count once. Near copies of one text are told from pages of one template
+by what they have of their own: in the lines that aren't over the limit, a page has other words, while a copy repeats
+most three-word windows of the lines over the limit, as an edit of them. Such copies count as one document, so a text
+that was copied many times does not turn its own lines into boilerplate; that is left to near-duplicate detection.
+Only lines that are over the limit by texts, but not by signatures (the two lowest line hashes among a document's
+*other* lines), are looked at that closely. A document of a single line has the line itself as text.
 
 A line is normalised by dropping ASCII blanks at its ends, lower-casing, and folding runs of blanks; lines
 without a word are neither counted nor removed. Null and empty texts have no words and fail the base rules. A
@@ -25,6 +27,8 @@ from florilege.runtime import written
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 MIN_DOCS, SHARE, LEFT = 5, 0.02, 0.5
+#: Share of its own windows from which a text is an edit of the lines over the limit.
+EDIT = 0.5
 SYMBOLS = "#*$%&|<>"
 
 
@@ -107,9 +111,9 @@ def line_hash(line: Column) -> Column:
 
 
 def _counted_lines(docs: DataFrame) -> DataFrame:
-    """source, key, hash, words and signature of each distinct line of each row; key stands for the row's text."""
+    """source, key, hash and signature of each distinct line of each row; key stands for the row's text."""
     text = F.col("text")
-    key = F.md5(_body(text))
+    key = F.xxhash64(_body(text))
 
     def known(lines: Column) -> Column:
         hashes = F.transform(lines, line_hash)
@@ -120,16 +124,43 @@ def _counted_lines(docs: DataFrame) -> DataFrame:
     rows = rows.select("source", "key", F.explode("k.hashes").alias("hash"), F.col("k.lowest").alias("lowest"))
     others = F.array_remove(F.col("lowest"), F.col("hash"))
     signature = F.concat_ws("-", F.coalesce(F.get(others, F.lit(0)), F.lit(-1)), F.coalesce(F.get(others, F.lit(1)), F.lit(-1)))
-    return rows.select("source", "hash", signature.alias("signature"))
+    return rows.select("source", "key", "hash", signature.alias("signature"))
 
 
 def boilerplate(docs: DataFrame) -> DataFrame:
     """source, hash of the lines above their host's limit. Counts are combined before each shuffle, so a hot host or line is a few rows a task."""
-    lines = _counted_lines(docs)
-    per_line = lines.groupBy("source", "hash", "signature").agg(F.lit(1).alias("one")).groupBy("source", "hash").agg(F.count("one").alias("n_docs"))
-    hosts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"))
-    per_line = per_line.filter(F.col("n_docs") >= MIN_DOCS)
-    return per_line.join(hosts, per_line["source"].eqNullSafe(hosts["source"])).filter(F.col("n_docs") >= SHARE * F.col("host_docs")).select(per_line["source"], "hash")
+    texts = _counted_lines(docs).groupBy("source", "hash", "signature", "key").agg(F.lit(1).alias("one"))
+    apart = texts.groupBy("source", "hash", "signature").agg(F.count("one").alias("n"))
+    per_line = apart.groupBy("source", "hash").agg(F.sum("n").alias("n_texts"), F.count("n").alias("n_apart"))
+    hosts = docs.groupBy(F.col("source").alias("host")).agg(F.count(F.lit(1)).alias("host_docs"))
+    per_line = per_line.filter(F.col("n_texts") >= MIN_DOCS).join(hosts, F.col("source").eqNullSafe(F.col("host")))
+    least = F.greatest(F.lit(float(MIN_DOCS)), SHARE * F.col("host_docs"))
+    per_line = per_line.select("source", "hash", "n_texts", "n_apart", least.alias("least")).filter("n_texts >= least")
+    above = written(per_line.select("source", "hash", (F.col("n_apart") < F.col("least")).alias("unsure"), "least"), "above")
+    sure, unsure = above.filter("not unsure").select("source", "hash"), above.filter("unsure")
+    return sure if unsure.isEmpty() else sure.union(_of_pages(docs, above))
+
+
+def _of_pages(docs: DataFrame, above: DataFrame) -> DataFrame:
+    """source, hash of the unsure lines of above that stay over the limit where edits of the lines of above count as one document."""
+    host = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("host")
+    above = above.select(host, "hash", "source", "unsure", "least")
+    hosts = above.filter("unsure").select("host").distinct()
+
+    def windows(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        return F.when(F.size(w) < 3, F.array(F.xxhash64(w))).otherwise(each)
+
+    rows = docs.select(host, F.xxhash64(_body(F.col("text"))).alias("key"), F.explode(_lines(F.col("text"))).alias("line")).join(hosts, "host", "left_semi")
+    rows = rows.select("host", "key", line_hash(F.col("line")).alias("hash"), let(words(normal(F.col("line"))), windows).alias("w"))
+    rows = written(rows.join(above.select("host", "hash", "unsure"), ["host", "hash"], "left"), "windows")
+    known = rows.filter("unsure is not null").dropDuplicates(["host", "hash"]).select("host", F.explode("w").alias("w")).distinct().withColumn("known", F.lit(1))
+    holders = rows.filter("unsure").select("host", "hash", "key").distinct()
+    own = rows.filter("unsure is null").join(holders.select("host", "key").distinct(), ["host", "key"], "left_semi")
+    own = own.select("host", "key", F.explode("w").alias("w")).distinct().join(known, ["host", "w"], "left")
+    pages = own.groupBy("host", "key").agg((F.count("known") / F.count(F.lit(1))).alias("share")).filter(F.col("share") < EDIT).select("host", "key", F.lit(1).alias("page"))
+    n = holders.join(pages, ["host", "key"], "left").groupBy("host", "hash").agg((F.count("page") + F.max(F.col("page").isNull().cast("int"))).alias("n_docs"))
+    return n.join(above, ["host", "hash"]).filter("n_docs >= least").select("source", "hash")
 
 
 def _limits(docs: DataFrame) -> DataFrame:

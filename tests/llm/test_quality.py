@@ -46,3 +46,15 @@ def test_clean_keeps_columns(odd, nothing):
     out = quality.clean(odd)
     assert out.columns == odd.columns and {r.doc_id for r in out.collect()} == {r.doc_id for r in quality.verdicts(odd).filter("kept").collect()}
     assert quality.clean(nothing).count() == 0 and quality.verdicts(nothing).count() == 0
+
+
+def test_long_templates_go_and_near_copies_stay(spark):
+    block = "\n".join(f"menu{j} with links{j} below" for j in range(30))
+    article = [" ".join(f"a{j}x{i}" for i in range(14)) for j in range(12)]
+    edited = lambda k: "\n".join(x.replace("x6", f"edit{k}") if j == k % 12 else x for j, x in enumerate(article))
+    texts = [(k, f"{block}\n{body(k)}") for k in range(60)] + [(100 + k, edited(k)) for k in range(36)] + [(1000 + k, body(k + 1000)) for k in range(704)]
+    rows = [(k, t, "en", s, 0) for k, t in texts for s in ("h", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.kept, r.n_words_left, r.n_words) for r in quality.verdicts(df).collect()]
+    assert len(got) == 1600 and all(not kept and left == 60 for k, kept, left, _ in got if k < 60)  # 30 lines in 60 of 800 documents
+    assert all(kept and left == n for k, kept, left, n in got if k >= 60)
