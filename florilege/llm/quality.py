@@ -1,20 +1,23 @@
 """Quality rules, the last of them cross-document line frequency; DataFrame functions only.
 
 Base rules count within a document. The method then counts, for each host (`source`), in how many distinct
-documents each normalised line stands. Lines above the limit (at least MIN_DOCS documents and SHARE of the
-host's) are boilerplate and removed; a document that keeps less than LEFT of its words is rejected.
+documents each normalised line stands. Lines at the limit or above (MIN_DOCS documents, and SHARE of the host's) are
+boilerplate and removed; a document that keeps less than LEFT of its words is rejected.
 
-Documents are distinct texts, so exact copies count once. Near copies of one text are told from pages of one template
-by what they have of their own: in the lines that aren't over the limit, a page has other words, while a copy repeats
-most three-word windows of the lines over the limit, as an edit of them. Such copies count as one document, so a text
-that was copied many times does not turn its own lines into boilerplate; that is left to near-duplicate detection.
-Only lines that are over the limit by texts, but not by signatures (the two lowest line hashes among a document's
-*other* lines), are looked at that closely. A document of a single line has the line itself as text.
+Documents are distinct texts, of lines and of hosts alike, so exact copies count once. Near copies of one text, which
+are left to near-duplicate detection, count once too: of the texts that hold lines over the limit, those are edits of
+such lines that share EDIT or more of the three-word windows of their other lines with lines over the limit of the
+host (a line of fewer words is one window). For each line all edits that hold it count as one document; a page
+with words of its own, and a text of nothing but lines over the limit, count for themselves.
 
 A line is normalised by dropping ASCII blanks at its ends, lower-casing, and folding runs of blanks; lines
-without a word are neither counted nor removed. Null and empty texts have no words and fail the base rules. A
-null source is a host of its own. Null ids and repeated rows are counted and returned like any other row. An
-empty table gives an empty result. Other columns, of whatever names, are kept by `clean` and ignored elsewhere.
+without a word are neither counted nor removed. Null and empty texts have no words and fail the base rules. Texts may
+be of any length: a row needs a few times its own text. A null source is a host of its own. Null ids, ties and
+repeated rows are counted and returned like any other row. An empty table gives an empty result. Other columns, of
+whatever names, are kept by `clean` and ignored elsewhere.
+
+Scale: counts are combined before each shuffle, so a hot host or line is a few rows a task. At most (mean lines of a
+text) / SHARE lines of a host can be over its limit, so the arrays of them are bounded, whatever the host's size.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from florilege.runtime import written
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 MIN_DOCS, SHARE, LEFT = 5, 0.02, 0.5
-#: Share of its own windows from which a text is an edit of the lines over the limit.
+#: Share of the windows of its other lines from which a text is an edit of the lines over the limit.
 EDIT = 0.5
 SYMBOLS = "#*$%&|<>"
 
@@ -102,93 +105,93 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.regexp_replace(F.btrim(line, F.lit(BLANKS)), BLANK_RUN, " "))
+    bare = F.btrim(line, F.lit(BLANKS))
+    return F.lower(F.when(bare.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(bare, BLANK_RUN, " ")).otherwise(bare))
 
 
 def line_hash(line: Column) -> Column:
-    """60 bits of a normalised line's MD5."""
-    return F.conv(F.substring(F.md5(normal(line)), 1, 15), 16, 10).cast("long")
+    """64 bits of a normalised line; null for a line without a word."""
+    return F.when(F.btrim(line, F.lit(BLANKS)) != "", F.xxhash64(normal(line)))
 
 
-def _counted_lines(docs: DataFrame) -> DataFrame:
-    """source, key, hash and signature of each distinct line of each row; key stands for the row's text."""
-    text = F.col("text")
-    key = F.xxhash64(_body(text))
+def windows(line: Column) -> Column:
+    """Hashes of a line's three-word windows; fewer words are one window."""
+
+    def each(w: Column) -> Column:
+        of_three = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        return F.when(F.size(w) < 3, F.array(F.xxhash64(w))).otherwise(of_three)
+
+    return let(words(normal(line)), each)
+
 
-    def known(lines: Column) -> Column:
-        hashes = F.transform(lines, line_hash)
-        lowest = F.slice(F.array_sort(F.array_distinct(hashes)), 1, 3)
-        return F.struct(F.array_distinct(hashes).alias("hashes"), lowest.alias("lowest"))
+def _host() -> Column:
+    """The source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
 
-    rows = docs.select("source", key.alias("key"), let(_lines(text), known).alias("k"))
-    rows = rows.select("source", "key", F.explode("k.hashes").alias("hash"), F.col("k.lowest").alias("lowest"))
-    others = F.array_remove(F.col("lowest"), F.col("hash"))
-    signature = F.concat_ws("-", F.coalesce(F.get(others, F.lit(0)), F.lit(-1)), F.coalesce(F.get(others, F.lit(1)), F.lit(-1)))
-    return rows.select("source", "key", "hash", signature.alias("signature"))
+
+def over_limit(docs: DataFrame) -> DataFrame:
+    """host, hash and least (the limit) of the lines that so many distinct texts of the host hold."""
+    key = F.xxhash64(_body(F.col("text"))).alias("key")
+    hashes = F.array_distinct(F.filter(F.transform(F.split(_body(F.col("text")), "\n"), line_hash), F.isnotnull))
+    held = docs.select(_host().alias("host"), key, F.explode(hashes).alias("hash")).groupBy("host", "hash", "key").agg(F.lit(1).alias("one"))
+    per_line = held.groupBy("host", "hash").agg(F.count("one").alias("n_texts"))
+    texts = docs.select(_host().alias("host"), key).groupBy("host", "key").agg(F.lit(1).alias("one"))
+    hosts = texts.groupBy("host").agg(F.greatest(F.lit(float(MIN_DOCS)), SHARE * F.count("one")).alias("least"))
+    return per_line.filter(F.col("n_texts") >= MIN_DOCS).join(hosts, "host").filter("n_texts >= least").select("host", "hash", "least")
 
 
 def boilerplate(docs: DataFrame) -> DataFrame:
-    """source, hash of the lines above their host's limit. Counts are combined before each shuffle, so a hot host or line is a few rows a task."""
-    texts = _counted_lines(docs).groupBy("source", "hash", "signature", "key").agg(F.lit(1).alias("one"))
-    apart = texts.groupBy("source", "hash", "signature").agg(F.count("one").alias("n"))
-    per_line = apart.groupBy("source", "hash").agg(F.sum("n").alias("n_texts"), F.count("n").alias("n_apart"))
-    hosts = docs.groupBy(F.col("source").alias("host")).agg(F.count(F.lit(1)).alias("host_docs"))
-    per_line = per_line.filter(F.col("n_texts") >= MIN_DOCS).join(hosts, F.col("source").eqNullSafe(F.col("host")))
-    least = F.greatest(F.lit(float(MIN_DOCS)), SHARE * F.col("host_docs"))
-    per_line = per_line.select("source", "hash", "n_texts", "n_apart", least.alias("least")).filter("n_texts >= least")
-    above = written(per_line.select("source", "hash", (F.col("n_apart") < F.col("least")).alias("unsure"), "least"), "above")
-    sure, unsure = above.filter("not unsure").select("source", "hash"), above.filter("unsure")
-    return sure if unsure.isEmpty() else sure.union(_of_pages(docs, above))
-
-
-def _of_pages(docs: DataFrame, above: DataFrame) -> DataFrame:
-    """source, hash of the unsure lines of above that stay over the limit where edits of the lines of above count as one document."""
-    host = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("host")
-    above = above.select(host, "hash", "source", "unsure", "least")
-    hosts = above.filter("unsure").select("host").distinct()
+    """host, hash of the lines that stay at or above their host's limit where edits count as one document."""
+    over = written(over_limit(docs), "over")
+    by_host = over.groupBy("host").agg(F.collect_list("hash").alias("over"))
 
-    def windows(w: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        return F.when(F.size(w) < 3, F.array(F.xxhash64(w))).otherwise(each)
+    def parts(lines: Column) -> Column:
+        def of(hashes: Column) -> Column:
+            held = F.array_intersect(hashes, F.col("over"))
+            own = F.filter(lines, lambda line, i: ~F.array_contains(held, F.coalesce(F.get(hashes, i), F.lit(0))) & F.get(hashes, i).isNotNull())
+            known = F.filter(F.transform(lines, lambda line, i: F.struct(F.get(hashes, i).alias("hash"), line.alias("line"))), lambda x: F.array_contains(held, F.coalesce(x["hash"], F.lit(0))))
+            return F.when(F.size(held) > 0, F.struct(own.alias("own"), known.alias("known")))
+
+        return let(F.transform(lines, line_hash), of)
 
-    rows = docs.select(host, F.xxhash64(_body(F.col("text"))).alias("key"), F.explode(_lines(F.col("text"))).alias("line")).join(hosts, "host", "left_semi")
-    rows = rows.select("host", "key", line_hash(F.col("line")).alias("hash"), let(words(normal(F.col("line"))), windows).alias("w"))
-    rows = written(rows.join(above.select("host", "hash", "unsure"), ["host", "hash"], "left"), "windows")
-    known = rows.filter("unsure is not null").dropDuplicates(["host", "hash"]).select("host", F.explode("w").alias("w")).distinct().withColumn("known", F.lit(1))
-    holders = rows.filter("unsure").select("host", "hash", "key").distinct()
-    own = rows.filter("unsure is null").join(holders.select("host", "key").distinct(), ["host", "key"], "left_semi")
-    own = own.select("host", "key", F.explode("w").alias("w")).distinct().join(known, ["host", "w"], "left")
-    pages = own.groupBy("host", "key").agg((F.count("known") / F.count(F.lit(1))).alias("share")).filter(F.col("share") < EDIT).select("host", "key", F.lit(1).alias("page"))
-    n = holders.join(pages, ["host", "key"], "left").groupBy("host", "hash").agg((F.count("page") + F.max(F.col("page").isNull().cast("int"))).alias("n_docs"))
-    return n.join(above, ["host", "hash"]).filter("n_docs >= least").select("source", "hash")
+    rows = docs.select(_host().alias("host"), F.xxhash64(_body(F.col("text"))).alias("key"), F.split(_body(F.col("text")), "\n").alias("lines"))
+    rows = rows.join(written(by_host, "by_host"), "host").select("host", "key", let(F.col("lines"), parts).alias("p")).filter("p is not null")
+    holders = written(rows.select("host", "key", "p.own", "p.known"), "holders")
+    lines = holders.select("host", F.explode("known").alias("x")).groupBy("host", "x.hash").agg(F.first("x.line").alias("line"))
+    seen = lines.select("host", F.explode(windows(F.col("line"))).alias("w")).groupBy("host").agg(F.collect_set("w").alias("seen"))
 
+    def is_page(own: Column) -> Column:
+        return (F.size(own) == 0) | (F.size(F.array_intersect(own, F.col("seen"))) < EDIT * F.size(own))
 
-def _limits(docs: DataFrame) -> DataFrame:
-    """source and the array of its boilerplate, as a written table: its size is known when the join to it is planned,
-    so that Spark broadcasts it only if it is small and shuffles (and splits a hot host) otherwise."""
-    found = boilerplate(docs)
-    return written(found.groupBy(F.col("source").alias("_source")).agg(F.collect_list("hash").alias("_above")), "limits")
+    judged = holders.join(written(seen, "seen"), "host")
+    judged = judged.select("host", "key", F.array_distinct(F.transform("known", lambda x: x["hash"])).alias("held"), let(F.array_distinct(F.flatten(F.transform("own", windows))), is_page).alias("page"))
+    once = judged.select("host", "key", "page", F.explode("held").alias("hash")).groupBy("host", "hash", "key").agg(F.first("page").alias("page"))
+    n = once.groupBy("host", "hash").agg((F.count(F.when(F.col("page"), 1)) + F.max((~F.col("page")).cast("int"))).alias("n_docs"))
+    return n.join(over, ["host", "hash"]).filter("n_docs >= least").select("host", "hash")
 
 
 def _with_limits(docs: DataFrame) -> DataFrame:
-    """docs with the base columns and `_above`, the host's boilerplate."""
-    limits = _limits(docs)
-    return base(docs).join(limits, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    """docs with the base columns and `_above`, the host's boilerplate. That is a written table: its size is known when the
+    join to it is planned, so that Spark broadcasts it only if it is small and shuffles (and splits a hot host) otherwise."""
+    limits = written(boilerplate(docs).groupBy(F.col("host").alias("_host")).agg(F.collect_list("hash").alias("_above")), "limits")
+    return base(docs).join(limits, _host() == F.col("_host"), "left").drop("_host")
 
 
-def _cleaned() -> Column:
-    """The text without boilerplate; null where the host has none."""
+def _stays() -> Column:
+    """_at: the lines of the text that stay, and n: the words of those that don't; null where none goes."""
 
-    def stays(line: Column) -> Column:
-        return ~F.array_contains(F.col("_above"), F.coalesce(line_hash(line), F.lit(-1)))
+    def judged(lines: Column) -> Column:
+        def of(hashes: Column) -> Column:
+            def gone(held: Column) -> Column:
+                goes = lambda i: F.coalesce(F.array_contains(held, F.get(hashes, i)), F.lit(False))
+                lost = F.aggregate(F.filter(lines, lambda line, i: goes(i)), F.lit(0), lambda n, line: n + F.size(words(line)))
+                return F.when(F.size(held) > 0, F.struct(F.filter(lines, lambda line, i: ~goes(i)).alias("lines"), lost.cast("long").alias("n")))
 
-    lines = F.filter(F.split(_body(F.col("text")), "\n"), lambda line: (F.btrim(line, F.lit(BLANKS)) == "") | stays(line))
-    return F.when(F.col("_above").isNotNull(), F.array_join(lines, "\n"))
+            return let(F.array_intersect(hashes, F.col("_above")), gone)
 
+        return let(F.transform(lines, line_hash), of)
 
-def _left(text: Column) -> Column:
-    """The words of a cleaned text."""
-    return F.when(text.isNull(), F.col("n_words")).otherwise(F.size(words(text)).cast("long"))
+    return F.when(F.col("_above").isNotNull(), let(F.split(_body(F.col("text")), "\n"), judged))
 
 
 def _kept(left: Column) -> Column:
@@ -197,7 +200,8 @@ def _kept(left: Column) -> Column:
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and n_words_left of every row."""
-    rows = _with_limits(docs.select("doc_id", "text", "source")).withColumn("n_words_left", _left(_cleaned()))
+    left = F.col("n_words") - F.coalesce(_stays()["n"], F.lit(0).cast("long"))
+    rows = _with_limits(docs.select("doc_id", "text", "source")).withColumn("n_words_left", left)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", _kept(F.col("n_words_left")).alias("kept"), "n_words_left")
 
 
@@ -206,9 +210,13 @@ def clean(docs: DataFrame) -> DataFrame:
     apart = [c for c in docs.columns if c not in ("text", "source")]
     rest = F.struct(*[F.col(f"`{c}`") for c in apart]) if apart else F.lit(None)
     rows = _with_limits(docs.select(rest.alias("_rest"), "text", "source"))
+
+    def kept(s: Column) -> Column:
+        text = F.when(s.isNull(), F.col("text")).otherwise(F.array_join(s["lines"], "\n"))
+        return F.when(_kept(F.col("n_words") - F.coalesce(s["n"], F.lit(0).cast("long"))), F.array(text)).otherwise(F.array().cast("array<string>"))
+
     # Rejected rows leave through an empty array: a filter would be pushed below the join, and count each text again for each of its terms.
-    kept = let(_cleaned(), lambda t: F.when(_kept(_left(t)), F.array(F.coalesce(t, F.col("text")))).otherwise(F.array().cast("array<string>")))
-    rows = rows.select("_rest", "source", F.explode(kept).alias("_text"))
+    rows = rows.select("_rest", "source", F.explode(let(_stays(), kept)).alias("_text"))
     columns = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long"), "source": F.col("source")}
     return rows.select(*[columns.get(c, F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns])
 
@@ -226,27 +234,39 @@ cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2
 ln AS (
   SELECT r, source, text, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS k FROM d),
 lw AS (
-  SELECT r, source, k, line, regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g') AS folded,
+  SELECT r, source, text, k, line, regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g') AS folded,
          line <> '' AND regexp_matches(line, '[^\x20\x09-\x0D]') AS has
   FROM ln),
 h AS (
-  SELECT r, source, k, line, has,
-         CASE WHEN has THEN ('0x' || substr(md5(lower(trim(folded, ' '))), 1, 15))::BIGINT END AS hash,
+  SELECT r, source, text, k, line, has, CASE WHEN has THEN lower(trim(folded, ' ')) END AS norm,
          len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words
   FROM lw),
-u AS (SELECT DISTINCT r, source, hash FROM h WHERE has),
-low AS (SELECT r, list_sort(list(hash))[1:3] AS lowest FROM u GROUP BY r),
-sig AS (
-  SELECT source, hash, coalesce(o[1], -1) AS s1, coalesce(o[2], -1) AS s2
-  FROM (SELECT u.source, u.hash, list_filter(lowest, lambda x: x <> u.hash) AS o FROM u JOIN low USING (r))),
-per AS (SELECT source, hash, count(*) AS n FROM (SELECT DISTINCT source, hash, s1, s2 FROM sig) GROUP BY ALL),
-host AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+u AS (SELECT DISTINCT source, text, norm FROM h WHERE has),
+host AS (SELECT source, greatest({MIN_DOCS}, {SHARE}::DOUBLE * count(DISTINCT text)) AS least FROM d GROUP BY source),
+per AS (SELECT source, norm, count(*) AS n FROM u GROUP BY ALL),
+over_ AS (
+  SELECT per.source, per.norm, host.least FROM per JOIN host ON per.source IS NOT DISTINCT FROM host.source WHERE per.n >= host.least),
+marked AS (
+  SELECT u.source, u.text, u.norm, over_.norm IS NOT NULL AS above, max(over_.norm IS NOT NULL) OVER (PARTITION BY u.source, u.text) AS holds
+  FROM u LEFT JOIN over_ ON u.source IS NOT DISTINCT FROM over_.source AND u.norm = over_.norm),
+split_ AS (SELECT source, text, above, regexp_split_to_array(norm, ' ') AS w FROM marked WHERE holds),
+three AS (
+  SELECT DISTINCT source, text, above, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, (len(w) - 1)::BIGINT), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
+  FROM split_),
+seen AS (SELECT DISTINCT source, g FROM three WHERE above),
+edit AS (
+  SELECT three.source, three.text FROM three LEFT JOIN seen ON three.source IS NOT DISTINCT FROM seen.source AND three.g = seen.g
+  WHERE NOT above GROUP BY three.source, three.text HAVING count(seen.g) >= {EDIT}::DOUBLE * count(*)),
+n_docs AS (
+  SELECT m.source, m.norm, count(*) - count(edit.text) + max(CASE WHEN edit.text IS NULL THEN 0 ELSE 1 END) AS n
+  FROM marked m LEFT JOIN edit ON m.source IS NOT DISTINCT FROM edit.source AND m.text = edit.text WHERE m.above GROUP BY m.source, m.norm),
 above AS (
-  SELECT per.source, per.hash FROM per JOIN host ON per.source IS NOT DISTINCT FROM host.source
-  WHERE per.n >= {MIN_DOCS} AND per.n >= {SHARE}::DOUBLE * host.n),
+  SELECT n_docs.source, n_docs.norm FROM n_docs JOIN over_ ON n_docs.source IS NOT DISTINCT FROM over_.source AND n_docs.norm = over_.norm
+  WHERE n_docs.n >= over_.least),
 left_ AS (
-  SELECT h.r, sum(CASE WHEN above.hash IS NULL THEN words ELSE 0 END) AS n
-  FROM h LEFT JOIN above ON h.source IS NOT DISTINCT FROM above.source AND h.hash = above.hash GROUP BY h.r),
+  SELECT h.r, sum(CASE WHEN above.norm IS NULL THEN words ELSE 0 END) AS n
+  FROM h LEFT JOIN above ON h.source IS NOT DISTINCT FROM above.source AND h.norm = above.norm GROUP BY h.r),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM h WHERE has GROUP BY r),
 b AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,

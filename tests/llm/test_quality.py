@@ -1,3 +1,5 @@
+import re
+
 from florilege.llm import quality
 
 
@@ -58,3 +60,44 @@ def test_long_templates_go_and_near_copies_stay(spark):
     got = [(r.doc_id, r.kept, r.n_words_left, r.n_words) for r in quality.verdicts(df).collect()]
     assert len(got) == 1600 and all(not kept and left == 60 for k, kept, left, _ in got if k < 60)  # 30 lines in 60 of 800 documents
     assert all(kept and left == n for k, kept, left, n in got if k >= 60)
+
+
+def slow_boilerplate(rows):
+    """Host -> normalised lines over the limit, counted document by document."""
+    norm = lambda line: re.sub(r"[\x20\x09-\x0D]+", " ", line).strip(" ").lower()
+    hosts = {}
+    for r in rows:
+        hosts.setdefault(r.source, {})[r.text or ""] = {norm(x) for x in (r.text or "").split("\n")} - {""}
+    grams = lambda lines: {tuple(w[k : k + 3]) for w in (x.split(" ") for x in lines) for k in range(max(1, len(w) - 2))}
+    out = {}
+    for host, texts in hosts.items():
+        least = max(quality.MIN_DOCS, quality.SHARE * len(texts))
+        over = {x for lines in texts.values() for x in lines if sum(x in other for other in texts.values()) >= least}
+        known, out[host] = grams(over), set()
+        edit = {t: bool(g := grams(lines - over)) and len(g & known) >= quality.EDIT * len(g) for t, lines in texts.items()}
+        for x in over:
+            holders = [t for t, lines in texts.items() if x in lines]
+            if sum(not edit[t] for t in holders) + any(edit[t] for t in holders) >= least:
+                out[host].add(x)
+    return out, norm
+
+
+def check_slow(df):
+    rows = df.select("doc_id", "text", "source").collect()
+    above, norm = slow_boilerplate(rows)
+    want = []
+    for r in rows:
+        left = sum(len(x.encode().split()) for x in (r.text or "").split("\n") if norm(x) not in above[r.source])
+        want.append((r.doc_id, left))
+    got = [(r.doc_id, r.n_words_left) for r in quality.verdicts(df).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    return above
+
+
+def test_documents_are_counted(spark, odd):
+    check_slow(odd)
+    menu = "\n".join(f"menu {j} of the site" for j in range(120))
+    rows = [(k, f"{menu}\n{body(k, 300)}", "long") for k in range(100)] + [(k, f"top\nnext\nprivacy\n(c)\n{body(k)}", "short") for k in range(200, 208)]
+    rows += [(k, "\n".join(f"part {j}" for j in range(12) if j != k % 12), None) for k in range(300, 324)] + [(k, body(k), "short") for k in range(400, 410)]
+    above = check_slow(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert len(above["long"]) == 120 and len(above["short"]) == 4 and len(above[None]) == 12
