@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from florilege.runtime import prepare
+from florilege.runtime import prepare, written
 
 #: ASCII white space of the contracts, for btrim and for regular expressions.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -31,6 +32,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def numbered(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with `nth`, from 0, among rows of equal keys. Only rows that share their keys are numbered, within the partitions
+    that they were written in, after the counts of the partitions before, so that no group of them is one task."""
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys])
+    groups = written(rows.groupBy(*[F.col(k).alias(f"_same_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"), "groups")
+    single = rows.join(groups, same, "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    shared = written(rows.join(groups, same, "left_semi").withColumn("_part", F.spark_partition_id()), "repeats")
+    parts = shared.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*[F.col(k).alias(f"_same_{k}") for k in keys], F.col("_part").alias("_same_part"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_part")) - 1
+    counted = shared.withColumn("nth", own).join(parts, same & (F.col("_part") == F.col("_same_part")))
+    return single.unionByName(counted.withColumn("nth", F.col("nth") + F.col("_before")).select(*single.columns))
+
+
 def bounded_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
     """At most `most` rows of df, the same on each run: those whose keys hash lowest, but for rows left out by a threshold
     on the hash that lets a tenth more than `most` pass, so that tasks send on only what may be chosen."""
