@@ -29,8 +29,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: some not at all, some twice."""
-    return mixing.mix(docs).select(*[f"`{c}`" for c in docs.columns])
+    """Documents as often as the mix draws them: some not at all, some twice. The files hold the output shards one after another, shuffled within."""
+    return mixing.in_shards(mixing.mix(docs)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
