@@ -1,22 +1,26 @@
 """Token counts of a document's sections, by attribution of the tokens of the whole document.
 
-A document is encoded once, whole, so that counts add up to what a model would see. Its tokens' byte spans are
-joined with the spans of its sections, and each token counts for one section.
+A document is encoded once, whole, so that counts add up to what a model would see. Its tokens' character spans are
+joined with the spans of its sections, and each token counts for one section. A token's span runs from the character
+of its first byte to that of its last one, so tokens that are parts of a character have that character as span.
 
 Sections are the document's lines, each with its line end; they cover the document without gaps. The first line
 that holds a word is the title, lines that start with `-`, `*`, `#` or `|` are lists, blank lines are gaps, all
 others are body.
 
-A token that crosses a boundary counts for the section that holds most of its bytes, and for the earliest of
+A token that crosses a boundary counts for the section that holds most of its characters, and for the earliest of
 these on a tie.
 
-Null and empty texts have no tokens and no sections. Texts may be of any length. Repeated rows get equal
-results, other columns are ignored.
+Null and empty texts have no tokens and no sections. Texts may be of any length, and so may their runs of blanks: the
+library's matcher gives up on runs of about a million, so runs of LONG or more are cut here, where its pattern cuts them.
+A row needs a few dozen times its own bytes. Null ids and repeated rows are rows like any other, and equal texts get
+equal results. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +30,9 @@ from pyspark.sql import functions as F
 
 from florilege.llm.common import BLANKS, map_rows
 
+#: White space of the tokenizer's pattern (Unicode's), and the length from which a run of it is cut here.
+LONG = 10_000
+BLANK_RUNS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG)
 KINDS = ("title", "body", "list", "gap")
 #: Fixed by the tokenizer: the pattern that cuts a text before the merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -41,39 +48,61 @@ def tokenizer(content: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
+def encode(text: str, encoding: tiktoken.Encoding) -> np.ndarray:
+    """The token ids of a text. A run of blanks is one piece, but for its last one where a word follows."""
+    out, start = [], 0
+    for run in BLANK_RUNS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out.append(encoding.encode_to_numpy(text[start : run.start()], disallowed_special=()))
+        out.append(np.array(encoding._encode_single_piece(text[run.start() : end]), np.uint32))
+        start = end
+    out.append(encoding.encode_to_numpy(text[start:], disallowed_special=()))
+    return np.concatenate(out) if len(out) > 1 else out[0]
+
+
 def sections(text: str) -> tuple[list[str], np.ndarray]:
-    """The kind of each section, and the byte offset of each end."""
+    """The kind of each section, and the character offset of each end."""
     kinds, sizes, titled = [], [], False
     for line in text.split("\n"):
         bare = line.strip(BLANKS)
         kind = "gap" if not bare else "title" if not titled else "list" if bare[0] in "-*#|" else "body"
         titled = titled or bool(bare)
         kinds.append(kind)
-        sizes.append(len(line.encode("utf-8", "replace")) + 1)
+        sizes.append(len(line) + 1)
     sizes[-1] -= 1
     return (kinds, np.cumsum(sizes)) if sizes[-1] else (kinds[:-1], np.cumsum(sizes[:-1]))
 
 
-def attribute(ends: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The section of each token, and whether it crosses a boundary; from the ends of sections and of tokens in bytes."""
-    begins = np.concatenate([[0], tokens[:-1]])
-    first = np.searchsorted(ends, begins, side="right")
-    last = np.searchsorted(ends, tokens - 1, side="right")
+def spans(raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end in characters of tokens of so many bytes each."""
+    starts = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)  # the characters that begin up to each byte
+    ends = np.cumsum(sizes)
+    return starts[ends - sizes] - 1, starts[ends - 1]
+
+
+def attribute(ends: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The section of each token, and whether it crosses a boundary; from the ends of sections and the spans of tokens."""
+    first = np.searchsorted(ends, begin, side="right")
+    last = np.searchsorted(ends, end - 1, side="right")
     crosses, best = first != last, first.copy()
-    for k in np.flatnonzero(crosses):
-        own = np.arange(first[k], last[k] + 1)
-        held = np.minimum(ends[own], tokens[k]) - np.maximum(np.where(own > 0, ends[own - 1], 0), begins[k])
-        best[k] = own[np.argmax(held)]
+    if crosses.any():
+        own, begin, end, n = first[crosses], begin[crosses], end[crosses], (last - first + 1)[crosses]
+        at = np.cumsum(n) - n  # where each token's sections begin in a list of all of them
+        own = np.arange(n.sum()) + np.repeat(own - at, n)
+        held = np.minimum(ends[own], np.repeat(end, n)) - np.maximum(np.where(own > 0, ends[own - 1], 0), np.repeat(begin, n))
+        most = held == np.repeat(np.maximum.reduceat(held, at), n)
+        best[crosses] = np.minimum.reduceat(np.where(most, own, len(ends)), at)
     return best, crosses
 
 
 def counts(text: str | None, encoding: tiktoken.Encoding, sizes: np.ndarray) -> tuple[list[str], np.ndarray, int]:
     """Kinds of the sections, their tokens, and how many tokens cross a boundary."""
-    text = (text or "").encode("utf-8", "replace").decode("utf-8")
-    if not text:
+    raw = (text or "").encode("utf-8", "replace")
+    if not raw:
         return [], np.zeros(0, np.int64), 0
+    text = raw.decode("utf-8")
     kinds, ends = sections(text)
-    best, crosses = attribute(ends, np.cumsum(sizes[encoding.encode_to_numpy(text, disallowed_special=())]))
+    best, crosses = attribute(ends, *spans(raw, sizes[encode(text, encoding)]))
     return kinds, np.bincount(best, minlength=len(kinds)), int(crosses.sum())
 
 

@@ -10,13 +10,15 @@ ENCODING, SIZES = tokencount.tokenizer(open(PATH, encoding="ascii").read())
 
 
 def brute(text):
-    """Token by token, byte by byte."""
+    """Token by token, character by character."""
     kinds, ends = tokencount.sections(text) if text else ([], [])
     section = [k for k, (a, b) in enumerate(zip([0, *ends], ends)) for _ in range(b - a)]
+    character = [k for k, c in enumerate(text) for _ in c.encode()]
     counts, crossing, at = [0] * len(kinds), 0, 0
     for token in ENCODING.encode_ordinary(text):
-        own = section[at : at + len(ENCODING.decode_single_token_bytes(token))]
-        at += len(own)
+        size = len(ENCODING.decode_single_token_bytes(token))
+        own = [section[c] for c in dict.fromkeys(character[at : at + size])]
+        at += size
         counts[max(sorted(set(own)), key=own.count)] += 1
         crossing += len(set(own)) > 1
     return kinds, counts, crossing
@@ -29,6 +31,25 @@ def test_attribution(text):
     assert (kinds, counts.tolist(), crossing) == brute(text)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text(" \n\t\u3000\x85\x1c", max_size=12), st.text("a1'sé中.", max_size=4)), max_size=5), st.integers(2, 5))
+def test_cut_runs_are_the_library_s(parts, long):
+    """Runs are cut from `long` on instead of LONG: the library can tell that the ids are the same."""
+    import re
+    from unittest import mock
+
+    text = "".join(a + b for a, b in parts)
+    with mock.patch.object(tokencount, "BLANK_RUNS", re.compile(tokencount.BLANK_RUNS.pattern.replace(str(tokencount.LONG), str(long)))):
+        assert tokencount.encode(text, ENCODING).tolist() == ENCODING.encode_ordinary(text)
+
+
+def test_very_long_texts():
+    n = 10_000_000
+    for text in (" " * n, "\n" * (n // 8), "x" + "\t" * n + "\ty", "a" * n, "中" * (n // 3), "." * n, "a b\n" * (n // 16)):
+        kinds, counts, _ = tokencount.counts(text, ENCODING, SIZES)
+        assert len(kinds) == len(counts) == text.rstrip("\n").count("\n") + len(text) - len(text.rstrip("\n")) + (not text.endswith("\n")) and counts.sum() > 0
+
+
 def test_rule_and_kinds():
     kinds, counts, crossing = tokencount.counts("A\n\n\n b\n- c\n", ENCODING, SIZES)
     assert kinds == ["title", "gap", "gap", "body", "list"] and crossing == 1 and counts.sum() == len(ENCODING.encode_ordinary("A\n\n\n b\n- c\n"))
