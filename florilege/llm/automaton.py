@@ -11,10 +11,15 @@ exactly the correct tokenisations. States are kept as (parent, removed token, bi
 those of its parent at its birth but for the removed one, and a later token u+v is there if u is. `follows`
 walks these tables; no table holds states times tokens.
 
-Encoding walks a word along these arcs: from the state of the last token it takes the longest arc that matches,
-turns to shorter ones where the state lacks it, and steps back where none is left. A position found to be a dead
-end is never entered twice, so the walk is linear in the word's length times the longest token. The accepting
-walk is unique, as the correct tokenisation is.
+Over symbols this automaton is made deterministic: a state of the transducer is the set of token arcs that are under
+way, each as (state it left, node of the tree of token labels). A symbol moves all of them on at once. Exactly one of them
+can end there, as what has been read has one tokenisation; the transition emits its token, and the state that it leads to
+joins the set. So a word is one pass from left to right over a table (state, symbol) -> (state, token), and the token at
+each place is the last one of the tokenisation up to there: read from the end, they are that of the word. The last symbol
+of a word has a word end, which makes it a symbol of its own.
+
+The table is filled where words first lead, from the automaton's own tables, and is emptied when it has MAX_ENTRIES
+transitions, so that its size is bounded whatever is read.
 """
 
 from __future__ import annotations
@@ -22,6 +27,9 @@ from __future__ import annotations
 import json
 from functools import lru_cache
 
+#: Transitions kept. A word adds one for each symbol at most, so a very long word may exceed it until it ends.
+MAX_ENTRIES = 400_000
+
 
 class Automaton:
     """Tables of the automaton for a vocabulary, its merges in order of rank, and a word-end suffix."""
@@ -34,6 +42,7 @@ class Automaton:
         self.parent, self.removed, self.birth = [-1], [-1], [-1]
         made = {a + b for a, b in merges}
         self.target: dict[int, int] = {}
+        self.size = {i: len(t.removesuffix(suffix) if suffix else t) for t, i in vocab.items()}
         for t, i in vocab.items():
             if t not in made:
                 self.born[i], self.target[i] = -1, 0
@@ -49,11 +58,24 @@ class Automaton:
             self.removed.append(v)
             self.birth.append(rank)
             self.target[u] = len(self.parent) - 1
-        #: Arcs by label, without and with the word end: an arc with the suffix can only be a word's last.
-        self.inner = {t: i for t, i in vocab.items() if i in self.born and not (suffix and t.endswith(suffix))}
-        self.final = {t.removesuffix(suffix): i for t, i in vocab.items() if i in self.born and t.endswith(suffix)} if suffix else self.inner
-        self.longest = max(map(len, [*self.inner, *self.final]), default=1)
-        self._known: dict[tuple[int, int], bool] = {}
+        #: The tree of labels: node -> symbol -> node, and the token that ends at a node. A token with the word end is the path of
+        #: its symbols, of which the last one has the word end.
+        self.children: list[dict[str, int]] = [{}]
+        self.ends: list[int] = [-1]
+        for t, i in vocab.items():
+            if i in self.born and t:
+                bare = t.removesuffix(suffix) if suffix else t
+                path = [*bare[:-1], bare[-1:] + suffix] if bare != t else list(t)
+                node = 0
+                for symbol in path:
+                    below = self.children[node].get(symbol)
+                    if below is None:
+                        below = self.children[node][symbol] = len(self.ends)
+                        self.children.append({})
+                        self.ends.append(-1)
+                    node = below
+                self.ends[node] = i
+        self.forget()
 
     def _has(self, state: int, token: int) -> bool:
         """Whether the state has an arc with this token."""
@@ -66,49 +88,55 @@ class Automaton:
                 token = self.parts[token][0]
         return True
 
-    def follows(self, before: int, token: int) -> bool:
-        """Whether the state after a token has an arc; kept for pairs seen, in a table of bounded size."""
-        key = (before, token)
-        found = self._known.get(key)
-        if found is None:
-            if len(self._known) > 500_000:
-                self._known.clear()
-            found = self._known[key] = self._has(self.target[before], token)
-        return found
-
     def forget(self) -> None:
-        self._known.clear()
+        """Empty the table. State 0 is the start: no arc under way but those that leave the automaton's first state."""
+        self.table: list[dict[str, tuple[int, int]]] = [{}]
+        self.sets: list[tuple[tuple[int, int], ...]] = [((0, 0),)]
+        self.number: dict[tuple[tuple[int, int], ...], int] = {self.sets[0]: 0}
+        self.entries = 0
+
+    def _step(self, state: int, symbol: str) -> tuple[int, int]:
+        """The transition of a state by a symbol, from the arcs under way: (state, token that ends), or (-1, -1) where none ends."""
+        under_way, token, target = [], -1, -1
+        for left, node in self.sets[state]:
+            below = self.children[node].get(symbol)
+            if below is None:
+                continue
+            if self.children[below]:
+                under_way.append((left, below))
+            end = self.ends[below]
+            if end >= 0 and self._has(left, end):
+                token, target = end, self.target[end]
+        if token < 0:
+            found = (-1, -1)
+        else:
+            into = tuple(sorted({*under_way, (target, 0)}))
+            if into not in self.number:
+                self.number[into] = len(self.sets)
+                self.sets.append(into)
+                self.table.append({})
+            found = (self.number[into], token)
+        self.table[state][symbol] = found
+        self.entries += 1
+        return found
 
     def encode(self, word: str) -> list[int]:
-        """The arc labels on the run of a word of base symbols."""
-        n, inner, final, longest, follows = len(word), self.inner, self.final, self.longest, self.follows
-        whole = final.get(word)
-        if whole is not None:
-            return [whole]  # a token that the automaton reaches is its own tokenisation
-        dead: set[int] = set()
-        out: list[int] = []
-        ends: list[int] = []
-        at, end = 0, min(n, longest)
-        while True:
-            before = out[-1] if out else -1
-            while end > at:
-                token = final.get(word[at:]) if end == n else inner.get(word[at:end])
-                if token is not None and end not in dead and (before < 0 or follows(before, token)):
-                    break
-                end -= 1
-            if end > at:
-                out.append(token)
-                ends.append(end)
-                if end == n:
-                    return out
-                at, end = end, min(n, end + longest)
-            elif not out:
-                return out  # only a word with a symbol outside the vocabulary, or an empty one, ends here
-            else:
-                dead.add(at)
-                out.pop()
-                end = ends.pop() - 1
-                at = ends[-1] if ends else 0
+        """The arc labels on the run of a word of base symbols; none for a word with a symbol outside the vocabulary."""
+        if not word:
+            return []
+        if self.entries > MAX_ENTRIES:
+            self.forget()
+        table, step, state, at = self.table, self._step, 0, []
+        for symbol in [*word[:-1], word[-1] + self.suffix]:
+            state, token = table[state].get(symbol) or step(state, symbol)
+            if state < 0:
+                return []
+            at.append(token)
+        out, k, size = [], len(at), self.size
+        while k:
+            out.append(at[k - 1])
+            k -= size[at[k - 1]]
+        return out[::-1]
 
     def decode(self, ids: list[int]) -> list[str]:
         """The labels of the arcs taken."""

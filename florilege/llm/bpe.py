@@ -3,25 +3,31 @@
 Whole texts are normalised and cut by the tokenizer's split pattern; each distinct piece is run through the
 automaton when a worker first meets it, and looked up after that.
 
-Nulls and empty or blank texts have no tokens, and decode to the empty text. Repeated rows get equal results;
-other columns, of whatever names, are ignored. The memory of a worker is bounded: it keeps the
-pieces met last, two tables of MAX_PIECES at most.
+Nulls and empty or blank texts have no tokens, and decode to the empty text. Texts and their pieces may be of any
+length. Repeated rows and null ids are rows like any other, and equal texts get equal results. An empty table gives an
+empty result. Other columns, of whatever names, are ignored. The memory of a worker is bounded: it keeps the
+pieces met last, of LONGEST characters at most each, in two tables of MAX_PIECES at most, and the automaton's table.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
+from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from florilege.llm.automaton import Automaton, compile_file
 from florilege.llm.common import map_rows
 
 MAX_PIECES = 200_000
+#: Longer pieces are encoded each time.
+LONGEST = 64
 
 #: Fixed by the tokenizer: how it cuts words, and which code points stand for bytes.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -34,11 +40,20 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """Any code point that is not assigned in Python's Unicode version. The library's may be newer, with letters and pairs of case there."""
+    free = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    ends = [0, *[k for k in range(1, len(free)) if free[k] != free[k - 1] + 1], len(free)]
+    return re.compile("[" + "".join(f"{chr(free[a])}-{chr(free[b - 1])}" for a, b in zip(ends, ends[1:])) + "]")
+
+
 class Encoder:
     """Pre-split word -> (ids joined by spaces, labels joined by spaces, number of tokens), by look-up where known."""
 
-    def __init__(self, automaton: Automaton, added: dict[str, int]) -> None:
-        self.automaton, self.added = automaton, added
+    def __init__(self, automaton: Automaton, added: dict[str, int], content: str) -> None:
+        self.automaton, self.added, self.content = automaton, added, content
+        self.library: Tokenizer | None = None
         self.symbols = byte_symbols()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.known: dict[str, tuple[str, str, int]] = {}
@@ -48,31 +63,36 @@ class Encoder:
         same = piece.isascii() and piece.isprintable()  # bytes that stand for themselves; no piece holds a space
         return self.automaton.encode(piece if same else "".join([self.symbols[b] for b in piece.encode("utf-8", "replace")]))
 
+    def _joined(self, ids: list[int]) -> tuple[str, str, int]:
+        return " ".join(map(str, ids)), " ".join(self.automaton.decode(ids)), len(ids)
+
     def piece(self, piece: str) -> tuple[str, str, int]:
-        if len(self.known) >= MAX_PIECES:
-            self.older, self.known = self.known, {}
-        got = self.older.get(piece)
-        if got is None:
-            ids = self.ids(piece)
-            got = (" ".join(map(str, ids)), " ".join(self.automaton.decode(ids)), len(ids))
-        self.known[piece] = got
+        got = self.older.get(piece) or self._joined(self.ids(piece))
+        if len(piece) <= LONGEST:
+            if len(self.known) >= MAX_PIECES:
+                self.older, self.known = self.known, {}
+            self.known[piece] = got
         return got
 
+    def pieces(self, part: str) -> list[tuple[str, str, int]]:
+        """What is between added tokens: normalised (lower case by code point: no final sigma), cut, and encoded."""
+        if not part.isascii() and unassigned().search(part):
+            # Only the library knows its Unicode version: it normalises and cuts these texts, the automaton encodes them.
+            self.library = library = self.library or Tokenizer.from_str(self.content)
+            return [self._joined(self.automaton.encode(p)) for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(part))]
+        known, piece = self.known, self.piece
+        return [known.get(c) or piece(c) for c in SPLIT.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())]
+
     def forget(self) -> None:
         self.known, self.older = {}, {}
         self.automaton.forget()
 
     def text(self, text: str | None) -> tuple[str, str, int]:
-        """Added tokens stay whole; what is between them is normalised (lower case by code point: no final sigma) and cut."""
+        """Added tokens stay whole; what is between them is cut and encoded."""
         text = text or ""
         got: list[tuple[str, str, int]] = []
-        known, piece = self.known, self.piece
         for k, part in enumerate(self.cut.split(text) if self.cut and any(t in text for t in self.added) else [text]):
-            if k % 2:
-                got.append((str(self.added[part]), part, 1))
-            else:
-                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                got += [known.get(c) or piece(c) for c in SPLIT.findall(plain)]
+            got += [(str(self.added[part]), part, 1)] if k % 2 else self.pieces(part)
         return " ".join([v[0] for v in got]), " ".join([v[1] for v in got]), sum([v[2] for v in got])
 
 
@@ -84,7 +104,7 @@ def encoder(content: str) -> Encoder:
     key = hash(content)
     if key not in _ENCODERS:
         added = {t["content"]: t["id"] for t in json.loads(content).get("added_tokens", [])}
-        _ENCODERS[key] = Encoder(compile_file(content), added)
+        _ENCODERS[key] = Encoder(compile_file(content), added, content)
     return _ENCODERS[key]
 
 

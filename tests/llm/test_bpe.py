@@ -65,3 +65,37 @@ def test_real_ids_and_empty_table(spark, odd, nothing):
     rows = bpe.encode(odd, PATH).collect()
     assert len(rows) == odd.count() and all(len(r.ids) > 0 for r in rows if r.doc_id == 5)
     assert bpe.digests(nothing, PATH).count() == 0
+
+
+def test_every_code_point_and_random_texts(library):
+    """Also letters of newer Unicode versions: alone, between letters and after a mark."""
+    import random
+
+    coder = bpe.encoder(open(PATH, encoding="utf-8").read())
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(3)
+    known = [c for c in points if not bpe.unassigned().search(c)]
+    texts = [" ".join(known[k : k + 500]) for k in range(0, len(known), 500)] + [" ".join(f"a{c}b" for c in known[k : k + 500]) for k in range(0, len(known), 500)]
+    texts += [f"a{c}b {c}" for c in sorted({*points[:0x20000]} - {*known})[::50]] + ["A\u1c89b \ua7cb1"]
+    texts += ["".join(rng.choices(points[:0x20000], k=60)) for _ in range(300)]
+    for text, got in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        ids, decoded, n = coder.text(text)
+        assert [int(i) for i in ids.split()] == got.ids, [c for c in text.split(" ") if [int(i) for i in coder.text(c)[0].split()] != library.encode(c, add_special_tokens=False).ids][:10]
+
+
+def test_one_pass_and_bounded_tables(library):
+    from florilege.llm import automaton
+
+    coder = bpe.encoder(open(PATH, encoding="utf-8").read())
+    coder.forget()
+    small = automaton.MAX_ENTRIES
+    automaton.MAX_ENTRIES = 300
+    try:
+        for word in ["internationalisation", "zzzqqqxxyyzz" * 20, "pneumonoultramicroscopic", "a" * 999, "ab" * 5000] * 2:
+            assert coder.ids(word) == library.encode(word, add_special_tokens=False).ids
+            assert len(coder.automaton.sets) <= coder.automaton.entries + 1
+    finally:
+        automaton.MAX_ENTRIES = small
+    long = "中文字" * 400_000  # one piece: encoded, not kept
+    assert coder.text(long)[2] == len(library.encode(long, add_special_tokens=False).ids)
+    assert max(map(len, coder.known), default=0) <= bpe.LONGEST
