@@ -1,20 +1,21 @@
 """Sharding along a Hilbert curve through metadata: rows near in several dimensions share a shard.
 
-Dimensions are source, lang and size. Each is cut into 2**BITS buckets at quantiles over all rows (text by its
-first 7 bytes, in order), so that a bucket's range of values is narrow and files can be pruned by their minima
-and maxima in any of them. A row's buckets give its index on the curve; rows are put in order of the index and
-cut into runs.
+Dimensions are source, lang and size. Each is cut into 2**BITS - 1 buckets at quantiles over all rows: of the distinct
+values in order (texts by code points, whole), cut k is the first one up to which k shares of the rows lie. So a
+bucket's range of values is narrow and files can be pruned by their minima and maxima in any of them. A row's buckets give
+its index on the curve; rows are put in order of the index and cut into runs.
 
 The law is `rows`: with N rows and K shards, shard s holds the ranks from ceil(s N / K) on, so that counts are at
 most one apart. A slot is the rank less the shard's first.
 
 Ranks come without a global sort: a cell (index on the curve) holds rows in order of a hash of id and text, which
 also deals a cell, however hot, into PIECES even pieces. Counts by piece are summed within cells, counts by cell
-along the curve (at most 2**(3 BITS) cells, whatever the data), and rows are numbered within their piece alone.
+along the curve (at most 2**(3 BITS) cells, whatever the data), and rows are numbered within their piece alone. Quantiles
+are of counts by distinct value, summed over ranges of values; the driver sees the cuts alone, 2**BITS - 2 a dimension.
 
-Null metadata come first, in a bucket of their own. A null or empty text has 0 bytes. Rows of equal id and text
-are interchangeable, so repeated rows get slots of their own; null ids are ids like any other. With fewer rows
-than shards some shards are empty. An empty table gives an empty result. Other columns are ignored.
+Null metadata come first, in a bucket of their own. A null or empty text has 0 bytes. Texts may be of any length. Rows of
+equal id and text are told apart by a number, so repeated rows get slots of their own; null ids are ids like any other. With fewer
+rows than shards some shards are empty. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from florilege.llm.common import numbered, running
 from florilege.runtime import prepare, written
 
 BITS, SHARDS, PIECES, BASE_SIZE = 4, 40, 1024, 16
@@ -58,31 +60,32 @@ def curve_index(axes: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def _number(value: Column) -> Column:
-    """The first 7 bytes of a text as a number, so that order is kept; null stays null."""
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(value, "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("long")
-
-
 def lean(docs: DataFrame) -> DataFrame:
-    """What sharding needs of each row: ids, size, checksum, place in a cell, and a number for each dimension."""
+    """What sharding needs of each row: ids, size, checksum, place in a cell, and the dimensions."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = (F.octet_length(text) + BASE_SIZE).cast("long")
     return docs.select(
-        "doc_id",
-        size.alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.xxhash64("doc_id", text).alias("place"),
-        F.struct(_number(F.col("source")).alias("source"), _number(F.col("lang")).alias("lang"), size.alias("size")).alias("at"),
-    )
+        "doc_id", size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64("doc_id", text).alias("place"),
+        F.struct("source", "lang", size.alias("size")).alias("at"),
+    )
+
+
+def cuts(rows: DataFrame, dimension: str, n: int) -> list:
+    """The values that end the first n - 1 of n buckets of even counts, without repeats; nulls aside."""
+    value = F.col(f"at.{dimension}").alias("value")
+    counts = written(rows.select(value).filter("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n")), "counts")
+    upto = written(running(counts, [F.col("value")], {"upto": F.col("n")}), "upto")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # The bucket that a value ends is that of its last row; the first value that reaches a share is its cut.
+    reached = upto.filter(F.col("upto") * n >= F.lit(total)).withColumn("k", F.floor(F.col("upto") * n / F.lit(max(1, total))))
+    firsts = {r.k: r.value for r in reached.groupBy("k").agg(F.min("value").alias("value")).filter(F.col("k") < n).collect()}
+    return [firsts[k] for k in sorted(firsts)]
 
 
 def quantised(rows: DataFrame, bits: int = BITS) -> DataFrame:
-    """rows with `cell`, their index on the curve. Cuts are quantiles of all rows, by mergeable sketches."""
+    """rows with `cell`, their index on the curve."""
     prepare(rows.sparkSession)
-    n = (1 << bits) - 1  # buckets above the one of nulls
-    shares = [k / n for k in range(1, n)]
-    cuts = rows.agg(*[F.percentile_approx(F.col(f"at.{d}"), shares, 10_000).alias(d) for d in DIMENSIONS]).first()
-    bounds = {d: sorted(set(cuts[d] or [])) for d in DIMENSIONS}
+    bounds = {d: cuts(rows, d, (1 << bits) - 1) for d in DIMENSIONS}  # a bucket is left for nulls
 
     def bucket(d: str) -> Column:
         value = F.col(f"at.{d}")
@@ -122,11 +125,17 @@ def assigned(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write the rows of documents as Parquet, one folder `shard=s` for each shard, in order of slots."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keys = ["_id", "_size", "_crc", "_nth"]
-    numbered = lambda df, by: df.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy(by[0])))
-    placed = assigned(docs, shards).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "shard", "slot")
-    rows = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-1)), "_size": (F.octet_length(text) + BASE_SIZE).cast("long"), "_crc": F.crc32(F.encode(text, "UTF-8"))})
-    joined = numbered(rows, keys[:3]).join(numbered(placed, keys[:3]), keys).drop(*keys)
-    joined.repartition(shards, "shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    """Write the rows of documents as Parquet, one folder `shard=s` for each shard; a large shard is several files, each a run
+    of its slots. A column named shard is replaced."""
+    rows = ranked(quantised(written(lean(docs), "lean")))
+    placed = numbered(rows.select("place", "rank"), "place").select(F.col("place").alias("_place"), F.col("nth").alias("_nth"), F.col("rank").alias("_rank"))
+    total = rows.select("total").first()
+    if total is None:
+        return docs.withColumn("shard", F.lit(0)).write.partitionBy("shard").parquet(path)
+    key = F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))).alias("_own")
+    own = numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "shard"]).alias("_row"), key), "_own")
+    joined = own.join(placed, (F.col("_own") == F.col("_place")) & (F.col("nth") == F.col("_nth")))
+    runs = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards) * shards
+    cut = lambda k: F.expr(f"cast((_rank * {k}) div {total[0]} as int)")
+    dealt = joined.withColumns({"_shard": cut(shards), "_run": cut(runs)}).repartitionById(runs, F.col("_run")).sortWithinPartitions("_rank")
+    dealt.select("_row.*", F.col("_shard").alias("shard")).write.partitionBy("shard").parquet(path)

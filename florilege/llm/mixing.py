@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from florilege.llm.common import WORD, numbered
+from florilege.llm.common import WORD, numbered, running
 from florilege.runtime import written
 
 WEIGHTS, BUDGET, CAP = (5, 2, 1), 1.5, 2.0
@@ -53,27 +53,17 @@ def lean(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "source", "size", "key", "nth", F.when(F.col("nth") == 0, F.col("key")).otherwise(_hash("key", "nth")).alias("h"))
 
 
-def _running(rows: DataFrame, keys: list[Column], sums: dict[str, Column]) -> DataFrame:
-    """rows with sums up to and with each row in the order of keys: rows of ranges in order, added up within, after the sums of the ranges before."""
-    dealt = written(rows.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()), "ranges")
-    before, upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("range").orderBy(*keys)  # a row for each partition
-    ranges = dealt.groupBy("range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
-    ranges = ranges.select("range", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums])
-    own = dealt.withColumns({n: F.sum(c).over(upto.rowsBetween(Window.unboundedPreceding, 0)) for n, c in sums.items()}).join(ranges, "range")
-    return own.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("range", *[f"_{n}" for n in sums])
-
-
 def targets(sizes: DataFrame) -> DataFrame:
     """source, source_size and target, from source and source_size.
 
     With sources by rising cap (their most over their weight), those are capped whose own level, at which all of lower cap have
     their most and all others the level by weight, costs no more than there is."""
     total = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    placed = _running(sizes, [F.col("source").isNull(), F.encode("source", "UTF-8")], {"place": F.lit(1)})
+    placed = running(sizes, [F.col("source").isNull(), F.encode("source", "UTF-8")], {"place": F.lit(1)})
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), ((F.col("place") - 1) % len(WEIGHTS)).cast("int") + 1)
     own = placed.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * CAP).alias("most"))
     own = written(own.withColumn("cap", F.col("most") / F.col("weight")), "weights")
-    rising = written(_running(own, [F.col("cap"), F.col("source").isNull(), F.encode("source", "UTF-8")], {"fixed": F.col("most"), "fixed_weight": F.col("weight")}), "rising")
+    rising = written(running(own, [F.col("cap"), F.col("source").isNull(), F.encode("source", "UTF-8")], {"fixed": F.col("most"), "fixed_weight": F.col("weight")}), "rising")
     weights = own.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
     cost = F.col("fixed") + F.col("cap") * (F.lit(weights) - F.col("fixed_weight"))
     capped = rising.filter(cost <= BUDGET * total).agg(F.coalesce(F.sum("most"), F.lit(0.0)).alias("fixed"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight")).first()

@@ -30,6 +30,30 @@ def test_law(request, table):
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, hilbert.assigned(df.repartition(5)).collect()), key=repr)
 
 
+@pytest.mark.parametrize("table", ["docs", "odd"])
+def test_cells_shards_and_slots_are_brute_force(request, table):
+    df = request.getfixturevalue(table)
+    rows = [(r.doc_id, r.place, r.text_crc32, r["size"], tuple(None if v is None else v.encode() if isinstance(v, str) else v for v in r["at"])) for r in hilbert.lean(df).collect()]
+    n, bits = (1 << hilbert.BITS) - 1, []
+    for d in range(3):
+        values = sorted(r[4][d] for r in rows if r[4][d] is not None)
+        cuts = {values[-(-k * len(values) // n) - 1] for k in range(1, n)} if values else set()
+        bits.append([0 if r[4][d] is None else 1 + sum(r[4][d] > c for c in cuts) for r in rows])
+    cells = hilbert.curve_index(np.array(bits).T).tolist()
+    order = sorted((cell, r[1], r[0] is not None, r[0] or 0, *r[2:4]) for cell, r in zip(cells, rows))
+    want = []
+    for rank, (cell, _, known, doc, crc, size) in enumerate(order):
+        shard = rank * hilbert.SHARDS // len(order)
+        want.append((doc if known else None, size, crc, cell, shard, rank - -(-shard * len(order) // hilbert.SHARDS)))
+    got = [(r.doc_id, r["size"], r.text_crc32, r.cell, r.shard, r.slot) for r in hilbert.assigned(df).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_long_common_prefixes_are_told_apart(spark):
+    df = spark.createDataFrame([(k, "x", "en", f"https://site{k % 10}.org") for k in range(200)], "doc_id long, text string, lang string, source string")
+    assert len({(r.source, r.cell) for r in hilbert.assigned(df).join(df, "doc_id").collect()}) == 10 == len({r.cell for r in hilbert.assigned(df).collect()})
+
+
 def test_files_prune(spark, docs, tmp_path):
     hilbert.write_shards(docs, str(tmp_path / "s"), 40)
     back = spark.read.parquet(str(tmp_path / "s"))
