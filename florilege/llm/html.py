@@ -71,7 +71,7 @@ BASE, FOR, AGAINST, OUTSIDE = 0.5, 4.0, -12.0, -8.0
 #: Precision of a weight's prior, and the bounds of what is learned: of any weight, and from above of those of general elements.
 PRECISION, MOST, MOST_GENERAL = 0.2, 12.0, 2.0
 #: Elements too general for their words to be judged by: they may raise a word's score, not lower it.
-GENERAL = frozenset("html body div section p ul ol li dl dt dd table tbody tr td th center blockquote h1 h2 h3 h4 h5 h6 figure figcaption hgroup details summary pre header".split())
+GENERAL = frozenset("div section p ul ol li dl dt dd table tbody tr td th center blockquote h1 h2 h3 h4 h5 h6 figure figcaption hgroup details summary pre header".split())
 TEXTUAL = INLINE - {"a"} | frozenset("p br h1 h2 h3 h4 h5 h6 blockquote pre".split())
 LINKS = "!links"
 
@@ -127,8 +127,8 @@ class Block:
 
 
 def names(tag: str, attributes: str) -> tuple[str, ...]:
-    """The keys of an element: its name, its classes, id and role, and whether it is hidden."""
-    out = [tag]
+    """The keys of an element: its name (but for those around every page), its classes, id and role, and whether it is hidden."""
+    out = [tag] if tag not in ("html", "body") else []
     if attributes.strip():
         for name, *values in ATTRIBUTE.findall(attributes):
             value, name = next((v for v in values if v), ""), name.lower()
