@@ -8,9 +8,11 @@ Grades from labels: 0 toxic, 1 not toxic and of low quality, 2 not toxic and of
 with a null id, or both ratings null, rate nothing; one null rating counts as 0. Of several ratings of a document
 the lowest counts.
 
-Fitting takes at most SAMPLE rated documents, chosen by a hash of the id (a documented bound). All documents
-are scored, whole. Null and empty texts have no features: z = 0. Repeated rows get equal results. With no rated
-document the model has weights 0. Other columns are ignored.
+Fitting takes at most SAMPLE rated documents, chosen by a hash of the id, and of each at most TERMS features, those of the
+lowest hashes (documented bounds: the driver holds SAMPLE * TERMS numbers of 2 bytes at most). All documents
+are scored, whole, of any length, by all their features. Null and empty texts have no features: z = 0. Null ids and
+repeated rows are rows like any other, and equal texts get equal results. With no rated
+document the model has weights 0. An empty table of documents gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,19 +27,22 @@ from pyspark.sql import functions as F
 
 from florilege.llm.common import bounded_sample, map_rows
 
-SAMPLE, BUCKETS, GRADES = 8_000, 1 << 16, 3
+SAMPLE, TERMS, BUCKETS, GRADES = 8_000, 4_000, 1 << 16, 3
 #: Documents whose probability of the highest grade reaches this are kept.
 TAIL = 0.5
 MARK = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-MAX_TOKENS = 200_000
+#: What a worker keeps: chunks of so many characters at most, so many of them.
+LONGEST, MAX_TOKENS = 64, 200_000
 
 _KNOWN: dict[str, tuple[int, ...]] = {}
 
 
 def _hashed(chunk: str) -> tuple[int, ...]:
-    if len(_KNOWN) > MAX_TOKENS:
-        _KNOWN.clear()
-    got = _KNOWN[chunk] = tuple(zlib.crc32(t.encode("utf-8", "replace")) % BUCKETS for t in MARK.findall(chunk))
+    got = tuple({zlib.crc32(t.encode("utf-8", "replace")) % BUCKETS for t in MARK.findall(chunk)})
+    if len(chunk) <= LONGEST:
+        if len(_KNOWN) >= MAX_TOKENS:
+            _KNOWN.clear()
+        _KNOWN[chunk] = got
     return got
 
 
@@ -67,7 +72,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z[:, None] - self.thresholds[None, :], -30, 30)))
 
 
-def fit(rows: list[list[int]], grades: list[int], steps: int = 150, rate: float = 0.1, penalty: float = 1e-5) -> Model:
+def fit(rows: list, grades: list[int], steps: int = 150, rate: float = 0.1, penalty: float = 1e-5) -> Model:
     """Maximum likelihood with a quadratic penalty, by Adam over all rows; thresholds are a first one and logs of gaps."""
     weights, cuts = np.zeros(BUCKETS), np.array([-1.0, *[0.5] * (GRADES - 2)])
     model = Model(weights.astype(np.float32), np.cumsum(np.concatenate([cuts[:1], np.exp(cuts[1:])])))
@@ -128,12 +133,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     text = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows of two numbers
 
     def run(columns: list[list]) -> list[list]:
-        return [columns[0], columns[1], [features(t) for t in columns[2]]]
+        return [columns[0], columns[1], [np.array(features(t)[:TERMS], np.uint16).tobytes() for t in columns[2]]]
 
-    rows = map_rows(text.select("doc_id", "grade", "text"), run, "doc_id long, grade int, buckets array<int>")
+    rows = map_rows(text.select("doc_id", "grade", "text"), run, "doc_id long, grade int, buckets binary")
     # Repeated rows of an id would break the bound: one text counts.
     rows = rows.groupBy("doc_id", "grade").agg(F.min("buckets").alias("buckets")).orderBy("doc_id").collect()
-    return fit([r.buckets for r in rows], [r.grade for r in rows])
+    return fit([np.frombuffer(r.buckets, np.uint16) for r in rows], [r.grade for r in rows])
 
 
 def select(docs: DataFrame, model: Model, tail: float = TAIL) -> DataFrame:
