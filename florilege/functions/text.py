@@ -36,9 +36,13 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+#: A token as it stands: an address of mail, a run of letters and digits, or a single other mark. A local part has 64 characters at most.
+TOKEN = r"[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+|[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+
+
 def surface(text: Column) -> Column:
-    """Runs of letters and digits and single other marks, as they stand."""
-    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"), F.lit(0))
+    """The tokens of a text, as they stand."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
 def first_word(words: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from florilege.functions.text import let, repaired, sentences, surface, unit
+from florilege.functions.text import TOKEN, let, repaired, sentences, surface, unit
 
 #: The closed word classes of the rule tagger.
 CLASSES = {
@@ -38,6 +38,13 @@ def sentence_rows(docs: DataFrame, repair: bool = False) -> DataFrame:
     return rows.select(F.substring(F.sha2(key, 256), 1, 24).alias("sentence_id"), "file_path", "doc_i", "sent_i", text.alias("text"), surface(F.col("raw")).alias("tokens"), "url", "raw")
 
 
+def leading(text: Column) -> Column:
+    """The first token alone, as toks: all that rules on plain text look at, so that they need no annotation."""
+    word = F.regexp_extract(text, TOKEN, 0)
+    only = F.struct(F.lit(0).alias("i"), word.alias("text"), F.lower(word).alias("lower"), F.lit(False).alias("is_space"))
+    return F.when(word == "", F.array().cast("array<struct<i:int,text:string,lower:string,is_space:boolean>>")).otherwise(F.array(only))
+
+
 def part_of_speech(lower: Column, text: Column, i: Column) -> Column:
     out = F.when(~lower.rlike(r"[\p{L}\p{N}]"), "PUNCT").when(lower.rlike("^[0-9]+$"), "NUM")
     for pos, listed in CLASSES.items():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from florilege.functions.text import tokens
@@ -17,7 +17,8 @@ def normal(aliases: DataFrame) -> DataFrame:
 def gazetteer_matches(sentences: DataFrame, aliases: DataFrame) -> DataFrame:
     """sentence_id, node_id, match_text, match_start and match_end (tokens, end exclusive) of every alias in every sentence, in any case, overlaps included.
 
-    sentences have `words`, lower-case tokens. Grams of the lengths that aliases have are joined by equality; Spark broadcasts the aliases if they are few.
+    sentences have `words`, lower-case tokens. Places whose token begins an alias are joined first, so that only they make grams, of the
+    lengths that aliases with this token have; these are joined by equality. Spark broadcasts the aliases if they are few.
     """
     known = normal(aliases)
     longest = known.agg(F.max("n")).first()[0] or 0  # one number
@@ -25,11 +26,11 @@ def gazetteer_matches(sentences: DataFrame, aliases: DataFrame) -> DataFrame:
     if not longest:
         return sentences.select("sentence_id").limit(0).selectExpr("sentence_id", "'' as node_id", "'' as match_text", "0 as match_start", "0 as match_end")
 
-    def windows(n: int) -> Column:
-        each = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(i.cast("int").alias("s"), F.lit(n).alias("n"), F.array_join(F.slice(words, i + 1, n), " ").alias("gram")))
-        return F.when(F.size(words) >= n, each).otherwise(F.expr("array()").cast("array<struct<s:int,n:int,gram:string>>"))
-
-    grams = sentences.select("sentence_id", F.explode(F.flatten(F.array(*[windows(n) for n in range(1, longest + 1)]))).alias("g")).select("sentence_id", "g.s", "g.n", "g.gram")
+    begins = known.groupBy(F.substring_index("gram", " ", 1).alias("first")).agg(F.collect_set("n").alias("lengths"))  # longest numbers at most
+    ahead = F.transform(words, lambda _, i: F.slice(words, i + 1, longest))
+    places = sentences.select("sentence_id", F.posexplode(ahead).alias("s", "ahead")).withColumn("first", F.get("ahead", F.lit(0)))
+    grams = places.join(begins, "first").select("sentence_id", "s", "ahead", F.explode("lengths").alias("n")).filter(F.size("ahead") >= F.col("n"))
+    grams = grams.select("sentence_id", "s", "n", F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ").alias("gram"))
     found = grams.join(known.select("node_id", "gram"), "gram")
     return found.select("sentence_id", "node_id", F.col("gram").alias("match_text"), F.col("s").alias("match_start"), (F.col("s") + F.col("n")).alias("match_end"))
 

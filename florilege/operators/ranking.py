@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from florilege.config import Settings
@@ -106,9 +106,9 @@ def without_the(rows: DataFrame, aliases: DataFrame) -> DataFrame:
 def term_frequency(rows: DataFrame) -> DataFrame:
     """rows (subject, size, has_subjects, passes) with tf: size over the largest of the subject's valid rows (1 at least; one's own where there is none), 1 at most."""
     valid = (F.col("has_subjects") > 0) & F.col("passes")
-    most = F.greatest(F.max(F.when(valid, F.col("size"))).over(Window.partitionBy("subject")), F.lit(1))
-    top = F.max(F.when(valid, F.col("size"))).over(Window.partitionBy("subject"))
-    return rows.withColumn("tf", F.least(F.try_divide(F.col("size"), F.when(top.isNull(), F.col("size")).otherwise(most)), F.lit(1.0)))
+    most = rows.filter(valid).groupBy(F.col("subject").alias("_subject")).agg(F.greatest(F.max("size"), F.lit(1)).alias("_most"))  # combined before the shuffle
+    joined = rows.join(most, F.col("subject").eqNullSafe(F.col("_subject")), "left")
+    return joined.withColumn("tf", F.least(F.try_divide(F.col("size"), F.coalesce("_most", "size")), F.lit(1.0))).drop("_subject", "_most")
 
 
 def combined(rows: DataFrame) -> DataFrame:

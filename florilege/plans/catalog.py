@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,10 @@ ALIASES_SQL = "(VALUES " + ", ".join(f"('{a}', '{n}', {len(a.split())})" for n,
 SENT_SQL = r"""s AS (SELECT doc_id, unnest(p) AS text, unnest(range(len(p)))::INT AS sent_i FROM (
   SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents))"""
 WORDS_SQL = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
-SURFACE_SQL = r"regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')"
+SURFACE_SQL = f"regexp_extract_all(text, '{T.TOKEN}')"
+#: Sentences with something added by place, so that each rule holds for some and fails for others.
+SEEDS = {1: "text || ' ..'", 2: "'www ' || text", 3: "text || ' http'", 4: "text || ' a-b-c'", 5: "'  '", 6: "'Write to joe@mail.org today. ' || text", 7: "text || ' It will be so.'", 8: "text || ' Smith lvl.'", 9: "text || ' a – b – c'", 10: "text || ' Results: none'"}
+SEED_SQL = "v AS (SELECT doc_id, sent_i, CASE (doc_id + sent_i) % 23 " + " ".join(f"WHEN {k} THEN {x}" for k, x in SEEDS.items()) + " ELSE text END AS text FROM s)"
 MATCH_SQL = f"""w AS (SELECT doc_id, sent_i, {WORDS_SQL} AS t FROM s),
 gr AS (
   SELECT doc_id, sent_i, i AS match_start, n, array_to_string(t[i + 1:i + n], ' ') AS gram
@@ -53,6 +57,12 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_i", "text"))
 
 
+def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.expr("(doc_id + sent_i) % 23")
+    text = reduce(lambda a, k: a.when(kind == k, F.expr(SEEDS[k])), list(SEEDS)[1:], F.when(kind == 1, F.expr(SEEDS[1])))
+    return sentences(spark, sf_dir).withColumn("text", text.otherwise(F.col("text")))
+
+
 @query(f"WITH {SENT_SQL} SELECT doc_id, sent_i, text FROM s")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(spark, sf_dir)
@@ -110,16 +120,16 @@ def noted(rows: DataFrame) -> DataFrame:
     return written(annotate.rule_annotator(rows.withColumn("tokens", T.surface(F.col("text")))), "annotated")
 
 
-@query(f"WITH {SENT_SQL} SELECT doc_id, sent_i, " + ", ".join(f'({sql}) AS "{name}"' for name, sql in PLAIN_SQL.items()) + " FROM s")
+@query(f"WITH {SENT_SQL}, {SEED_SQL} SELECT doc_id, sent_i, " + ", ".join(f'({sql}) AS "{name}"' for name, sql in PLAIN_SQL.items()) + " FROM v")
 def text_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = noted(sentences(spark, sf_dir))
+    rows = seeded(spark, sf_dir).withColumn("toks", annotate.leading(F.col("text")))
     return rows.select("doc_id", "sent_i", *[predicates.PREDICATES[p](GEONAMES).alias(p) for p in PLAIN])
 
 
 @query(f"""WITH {SENT_SQL}, {MATCH_SQL}, ok AS (SELECT doc_id, sent_i FROM s WHERE {' AND '.join(f'({x})' for x in PLAIN_SQL.values())})
 SELECT node_id, count(*) AS n_sentences, count(DISTINCT doc_id) AS n_docs FROM (SELECT DISTINCT doc_id, sent_i, node_id FROM m) JOIN ok USING (doc_id, sent_i) GROUP BY node_id""")
 def group_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = noted(sentences(spark, sf_dir))
+    rows = sentences(spark, sf_dir).withColumn("toks", annotate.leading(F.col("text")))
     for name in PLAIN:
         rows = rows.filter(predicates.PREDICATES[name](GEONAMES))
     words = rows.select(F.struct("doc_id", "sent_i").alias("sentence_id"), T.tokens(F.col("text")).alias("words"))
@@ -134,7 +144,7 @@ def _pos_sql() -> str:
     return out + r" WHEN length(l) > 4 AND regexp_matches(l, '(ing|ed)$') THEN 'VERB' WHEN i > 0 AND regexp_matches(t, '^\p{Lu}') THEN 'PROPN' ELSE 'NOUN' END"
 
 
-NOTED_SQL = rf"""tk AS (SELECT doc_id, sent_i, unnest(x) AS t, unnest(range(len(x))) AS i FROM (SELECT doc_id, sent_i, {SURFACE_SQL} AS x FROM s)),
+NOTED_SQL = rf"""{SEED_SQL}, tk AS (SELECT doc_id, sent_i, unnest(x) AS t, unnest(range(len(x))) AS i FROM (SELECT doc_id, sent_i, {SURFACE_SQL} AS x FROM v)),
 lo AS (SELECT *, lower(t) AS l FROM tk), ps AS (SELECT *, {_pos_sql()} AS pos FROM lo),
 tg AS (SELECT *, CASE WHEN l IN {LISTED(annotate.PAST)} THEN 'VBD' WHEN pos = 'VERB' AND suffix(l, 'ing') THEN 'VBG' WHEN pos = 'VERB' AND suffix(l, 'ed') THEN 'VBD' WHEN pos = 'AUX' THEN 'VBZ' ELSE pos END AS tag FROM ps),
 rt AS (SELECT doc_id, sent_i, coalesce(min(i) FILTER (pos IN ('AUX', 'VERB')), 0) AS root, count(*) AS n FROM tg GROUP BY ALL),
@@ -146,7 +156,7 @@ TOKEN_RULES = {
     "all-propn-have-acceptable-ne-labels": r"NOT bool_or(pos = 'PROPN')",
     "has-no-pronouns": f"NOT bool_or(pos = 'PRON' AND l IN {LISTED(OCCUPATIONS.pronouns)})",
     "root-has-nsubj-or-nsubjpass": "bool_or(pos IN ('NOUN', 'PROPN', 'PRON') AND i < root)",
-    "has-no-email": "true",
+    "has-no-email": r"NOT bool_or(regexp_matches(t, '^[\w.+-]+@[\w-]+\.\w'))",
     "remove-non-verb-roots": "bool_or(i = root AND pos IN ('VERB', 'AUX'))",
     "remove-first-word-roots": "max(root) <> 0",
     "remove-present-participle-roots": "bool_or(i = root AND tag <> 'VBG')",
@@ -156,20 +166,20 @@ TOKEN_RULES = {
 
 @query(f"WITH {SENT_SQL}, {NOTED_SQL} SELECT doc_id, sent_i, " + ", ".join(f'{sql} AS "{name}"' for name, sql in TOKEN_RULES.items()) + " FROM an GROUP BY doc_id, sent_i")
 def token_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = noted(sentences(spark, sf_dir)).filter(F.size("toks") > 0)
+    rows = noted(seeded(spark, sf_dir)).filter(F.size("toks") > 0)
     return rows.select("doc_id", "sent_i", *[predicates.PREDICATES[p](OCCUPATIONS).alias(p) for p in TOKEN_RULES])
 
 
 @query(f"""WITH {SENT_SQL}, {NOTED_SQL} SELECT doc_id, sent_i, (count(*) FILTER (pos = 'NOUN') + 1)::DOUBLE / (count(*) + 1) AS noun_density FROM an GROUP BY doc_id, sent_i""")
 def noun_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = noted(sentences(spark, sf_dir)).filter(F.size("toks") > 0)
+    rows = noted(seeded(spark, sf_dir)).filter(F.size("toks") > 0)
     return rows.select("doc_id", "sent_i", T.noun_density(F.col("toks")).alias("noun_density"))
 
 
-@query(f"""WITH {SENT_SQL}, {NOTED_SQL} SELECT doc_id, sent_i, t AS match_text, i::INT AS match_start, 'capital' AS node_id FROM an WHERE pos = 'PROPN' AND l IN ('the', 'this', 'is') OR pos = 'PROPN' AND l LIKE 'th%'""")
+@query(f"""WITH {SENT_SQL}, {NOTED_SQL} SELECT doc_id, sent_i, t AS match_text, i::INT AS match_start, 'capital' AS node_id FROM an WHERE pos = 'PROPN'""")
 def entity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = noted(sentences(spark, sf_dir)).withColumn("sentence_id", F.struct("doc_id", "sent_i"))
-    names = rows.select(F.explode("ents").alias("e")).select(F.lower("e.text").alias("alias")).filter("alias like 'th%'").distinct().withColumn("node_id", F.lit("capital"))
+    rows = noted(seeded(spark, sf_dir)).withColumn("sentence_id", F.struct("doc_id", "sent_i"))
+    names = rows.select(F.explode("ents").alias("e")).select(F.lower("e.text").alias("alias")).distinct().withColumn("node_id", F.lit("capital"))
     return matching.entity_matches(rows, names).select("sentence_id.doc_id", "sentence_id.sent_i", "match_text", "match_start", "node_id")
 
 
@@ -184,12 +194,13 @@ RULE_SQL = {
     "words": f"NOT bool_or(l IN {LISTED(values.OCCUPATION_WORDS)})",
     "capitals": "NOT bool_or(length(t) >= 4 AND t = upper(t) AND t <> l)",
     "root": "count(*) - max(root) > 2",
+    "pattern": "NOT regexp_matches(any_value(text), '(?i)" + values.OCCUPATION_PATTERN.replace("'", "''") + "')",
 }
 
 
-@query(f"WITH {SENT_SQL}, {NOTED_SQL} SELECT doc_id, sent_i, " + ", ".join(f'{sql} AS "{name}"' for name, sql in RULE_SQL.items()) + " FROM an GROUP BY doc_id, sent_i")
+@query(f"WITH {SENT_SQL}, {NOTED_SQL} SELECT doc_id, sent_i, " + ", ".join(f'{sql} AS "{name}"' for name, sql in RULE_SQL.items()) + " FROM an JOIN v USING (doc_id, sent_i) GROUP BY doc_id, sent_i")
 def occupation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = noted(sentences(spark, sf_dir)).filter(F.size("toks") > 0).withColumn("rep", F.col("text"))
+    rows = noted(seeded(spark, sf_dir)).filter(F.size("toks") > 0).withColumn("rep", F.col("text"))
     rules = ranking.occupation_filters()
     return rows.select("doc_id", "sent_i", *[rules[r].alias(r) for r in RULE_SQL])
 
@@ -356,9 +367,9 @@ def short_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.short_names(nodes, names).select("node_id", "short_name")
 
 
-@query("SELECT n_nationkey::VARCHAR AS node_id, list_sort(list(DISTINCT c_mktsegment)) AS names FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 1 AND n_regionkey < 3 GROUP BY 1")
+@query("SELECT n_nationkey::VARCHAR AS node_id, list_sort(list(DISTINCT c_mktsegment)) AS names FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 1 GROUP BY 1")
 def alternate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "nation").filter("n_regionkey < 3").select(F.col("n_nationkey").cast("string").alias("node_id"))
+    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("node_id"))
     c = table(spark, sf_dir, "customer")
     names = c.select(F.col("c_nationkey").cast("string").alias("geoname_id"), F.col("c_mktsegment").alias("alternate_name"), F.when(F.col("c_custkey") % 2 == 1, "en").otherwise("link").alias("iso_language"))
     return tree.alternates_of(nodes, names).select("node_id", F.sort_array("names").alias("names"))
@@ -387,9 +398,9 @@ def alias_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.alias_counts(part_aliases(spark, sf_dir))
 
 
-@query(f"SELECT node_id, list_sort(list(DISTINCT demonym)) AS demonyms FROM (SELECT p_brand AS demonym, lower(p_name) AS alias FROM part WHERE p_partkey % 10 = 0) JOIN {BEST_SQL} b USING (alias) WHERE r = 1 GROUP BY node_id")
+@query(f"SELECT node_id, list_sort(list(DISTINCT demonym)) AS demonyms FROM (SELECT p_brand AS demonym, lower(p_name) AS alias FROM part) JOIN {BEST_SQL} b USING (alias) WHERE r = 1 GROUP BY node_id")
 def demonym_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "part").filter("p_partkey % 10 = 0").select(F.col("p_brand").alias("key"), F.col("p_name").alias("value"))
+    raw = table(spark, sf_dir, "part").select(F.col("p_brand").alias("key"), F.col("p_name").alias("value"))
     return tree.attach_demonyms(part_aliases(spark, sf_dir), raw)
 
 
@@ -411,9 +422,9 @@ def netloc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT k, n, n_texts, n_domains, n_texts <> 1 AND n_texts / n::DOUBLE >= {1 / 3!r} AND n_domains / n::DOUBLE >= {1 / 3!r} AS diverse FROM (
-  SELECT page_id % 40 AS k, count(*) AS n, count(DISTINCT lower(html[1:1])) AS n_texts, count(DISTINCT CASE WHEN page_id % 3 = 0 THEN 'none' ELSE '=' || {NETLOC_SQL} END) AS n_domains FROM pages GROUP BY 1)""")
+  SELECT page_id % 40 AS k, count(*) AS n, count(DISTINCT lower(CASE WHEN page_id % 4 = 0 THEN 'one text' WHEN page_id % 4 = 1 THEN 'text ' || page_id % 3 ELSE html END)) AS n_texts, count(DISTINCT CASE WHEN page_id % 3 = 0 THEN 'none' ELSE '=' || {NETLOC_SQL} END) AS n_domains FROM pages GROUP BY 1)""")
 def cluster_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 40).alias("k"), F.substring("html", 1, 1).alias("text"), F.when(F.col("page_id") % 3 == 0, None).otherwise(F.col("url")).alias("url"))
+    rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 40).alias("k"), F.expr("CASE WHEN page_id % 4 = 0 THEN 'one text' WHEN page_id % 4 = 1 THEN 'text ' || page_id % 3 ELSE html END").alias("text"), F.when(F.col("page_id") % 3 == 0, None).otherwise(F.col("url")).alias("url"))
     return ranking.diversity(rows, ["k"])
 
 
@@ -454,10 +465,10 @@ def file_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.in_files(table(spark, sf_dir, "documents").withColumnRenamed("source", "file_path"), ["src1", "src3"]).select("doc_id")
 
 
-@query("SELECT o_orderkey AS sentence_id, list(l_linenumber ORDER BY l_linenumber, l_partkey) AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 45 GROUP BY 1")
+@query("SELECT o_orderkey AS sentence_id, list(l_linenumber ORDER BY l_linenumber, l_partkey) AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sentence_id"))
-    items = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("sentence_id"), F.col("l_linenumber").alias("match_start"), F.col("l_partkey").alias("match_end"), F.lit("").alias("node_id"), F.lit("").alias("match_text"))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sentence_id"), F.col("l_linenumber").alias("match_start"), F.col("l_partkey").alias("match_end"), F.lit("").alias("node_id"), F.lit("").alias("match_text"))
     rows = matching.with_matches(orders, items)
     return rows.select("sentence_id", F.coalesce(F.transform("matches", lambda m: m["match_start"]), F.array(F.lit(None).cast("int"))).alias("lines"))
 
@@ -534,7 +545,7 @@ def prompt_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STOP_SQL = LISTED(T.STOP_WORDS)
-CONCEPT_SQL = f"""w AS (SELECT conv_id, turn, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]') AS t FROM conversations),
+CONCEPT_SQL = f"""w AS (SELECT conv_id, turn, {SURFACE_SQL} AS t FROM conversations),
 x AS (SELECT conv_id, turn, n, t[i + 1:i + n] AS g FROM (SELECT conv_id, turn, t, n, unnest(range(len(t) - n + 1)) AS i FROM w, (VALUES (1), (2), (3)) AS k(n) WHERE len(t) >= n)),
 ok AS (SELECT DISTINCT conv_id, turn, n, lower(array_to_string(g, ' ')) AS gram FROM x
   WHERE len(list_filter(g, lambda t: NOT regexp_matches(t, '^\\p{{L}}+$') OR lower(t) IN {STOP_SQL})) = 0),
@@ -569,12 +580,12 @@ def mean_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.select("source", "prob", "mean_food", ranking.own_facet("ritual", 0.1).alias("own"))
 
 
-@query(r"""WITH f AS (SELECT conv_id, turn, (string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))[1] AS rep FROM conversations)
+@query(r"""WITH f AS (SELECT conv_id, turn, (string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))[1] || CASE turn % 4 WHEN 1 THEN ' The menu.' WHEN 2 THEN ' See sentence 3.' ELSE '' END AS rep FROM conversations)
 SELECT conv_id, turn, suffix(rep, '.') AND length(rep) BETWEEN 20 AND 100 AS by_length,
   len(list_filter(regexp_split_to_array(rep, '\s+'), lambda w: w <> '')) >= 3 AND lower(list_filter(regexp_split_to_array(rep, '\s+'), lambda w: w <> '')[1]) NOT IN """ + LISTED(values.BAD_REP_STARTS) + r""" AS by_words,
   NOT regexp_matches(rep, '(?i)' || '""" + "') AND NOT regexp_matches(rep, '(?i)' || '".join(p.replace("'", "''") for p in values.BY_FACET["food"]) + r"""') AS by_pattern FROM f""")
 def rep_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.first_sentence(F.col("text")).alias("rep"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(T.first_sentence(F.col("text")), F.expr("CASE turn % 4 WHEN 1 THEN ' The menu.' WHEN 2 THEN ' See sentence 3.' ELSE '' END")).alias("rep"))
     rep = F.col("rep")
     return rows.select("conv_id", "turn", ranking.rep_length(rep, GEONAMES).alias("by_length"), F.coalesce(ranking.rep_words(rep, GEONAMES), F.lit(False)).alias("by_words"), ranking.rep_patterns(rep, "food").alias("by_pattern"))
 
@@ -583,16 +594,16 @@ DOT_SQL = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.e
 
 
 def similar(threshold: float) -> str:
-    return f"""WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM p)
+    return f"""WITH p AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM p)
 SELECT a.vec_id, count(*) AS df FROM u a JOIN u b ON list_inner_product(a.v, b.v) >= {threshold} GROUP BY 1"""
 
 
-@query(similar(0.3))
+@query(similar(GEONAMES.idf_threshold))
 def cosine_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.similar_counts(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.3)
+    return vectors.similar_counts(table(spark, sf_dir, "embeddings").withColumn("embedding", F.slice("embedding", 1, 4)), "vec_id", "embedding", GEONAMES.idf_threshold)
 
 
-@query(f"WITH d AS ({similar(0.3)}), n AS (SELECT count(*) AS n, min(df) AS least FROM d) SELECT vec_id, round(ln(n / df::DOUBLE) / ln(n / least::DOUBLE), 9) AS idf FROM d, n")
+@query(f"WITH d AS ({similar(GEONAMES.idf_threshold)}), n AS (SELECT count(*) AS n, min(df) AS least FROM d) SELECT vec_id, round(ln(n / df::DOUBLE) / ln(n / least::DOUBLE), 9) AS idf FROM d, n")
 def inverse_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.inverse_frequency(cosine_df(spark, sf_dir)).select("vec_id", F.round("idf", 9).alias("idf"))
 
@@ -624,10 +635,11 @@ def result_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.totals(table(spark, sf_dir, "part").select(F.col("p_size").alias("size"), F.array("p_name", "p_type").alias("concepts")))
 
 
-@query(r"SELECT item_id, regexp_replace(text, '^(.{3}).{4}(.{2}).{3}', '\1[MASK]\2[MASK]', 's') AS masked FROM benchmark WHERE length(text) >= 12")
+@query("SELECT item_id, text[:k] || '[MASK]' || text[k + 5:2 * k + 4] || '[MASK]' || text[2 * k + 8:] AS masked FROM (SELECT item_id, text, 1 + item_id % 5 AS k FROM benchmark)")
 def masking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((9, 12), (3, 7))])
-    return table(spark, sf_dir, "benchmark").filter(F.length("text") >= 12).select("item_id", T.masked(F.col("text"), spans).alias("masked"))
+    k = (1 + F.col("item_id") % 5).cast("int")
+    spans = F.array(*[F.struct(a.alias("start"), b.alias("end")) for a, b in ((2 * k + 4, 2 * k + 7), (k, k + 4))])
+    return table(spark, sf_dir, "benchmark").select("item_id", T.masked(F.col("text"), spans).alias("masked"))
 
 
 @query()
