@@ -7,9 +7,9 @@ sequences. A merge (u, v) rewrites it so that u is never followed by v but by th
 * every state with an arc u gets an arc u+v, which leads where v led: s(u+v) = s(v).
 
 As each token has a single target state, a state is "what may follow this token", and the automaton accepts
-exactly the correct tokenisations. States are kept as (parent, removed token, birth): the arcs of a state are
-those of its parent at its birth but for the removed one, and a later token u+v is there if u is. `follows`
-walks these tables; no table holds states times tokens.
+exactly the correct tokenisations. Whether a state has an arc follows from the order of the gadgets: the state of u lacks
+v from the merge of (u, v) on; else, if v came after u, v is there if its first part was, then; and if u came after v, u's
+state began as that of its second part. `has` follows this down both tokens; no table holds states times tokens.
 
 Over symbols this automaton is made deterministic: a state of the transducer is the set of token arcs that are under
 way, each as (state it left, node of the tree of token labels). A symbol moves all of them on at once. Exactly one of them
@@ -39,25 +39,28 @@ class Automaton:
         self.token = {i: t for t, i in vocab.items()}
         self.born: dict[int, int] = {}  # token -> number of merges before it, -1 for base symbols
         self.parts: dict[int, tuple[int, int]] = {}
-        self.parent, self.removed, self.birth = [-1], [-1], [-1]
+        self.merged: dict[tuple[int, int], int] = {}  # the gadgets: pair of tokens -> rank
         made = {a + b for a, b in merges}
-        self.target: dict[int, int] = {}
         self.size = {i: len(t.removesuffix(suffix) if suffix else t) for t, i in vocab.items()}
         for t, i in vocab.items():
             if t not in made:
-                self.born[i], self.target[i] = -1, 0
+                self.born[i] = -1
         for rank, (a, b) in enumerate(merges):
             u, v, uv = vocab.get(a), vocab.get(b), vocab.get(a + b)
             if u is None or v is None or uv is None or uv in self.born or u not in self.born or v not in self.born:
                 continue
-            state = self.target[u]
-            if not self._has(state, v):
+            if not self.has(u, v):
                 continue  # u is never followed by v here: no gadget, and no arc for u+v
-            self.born[uv], self.parts[uv], self.target[uv] = rank, (u, v), self.target[v]
-            self.parent.append(state)
-            self.removed.append(v)
-            self.birth.append(rank)
-            self.target[u] = len(self.parent) - 1
+            self.born[uv], self.parts[uv], self.merged[u, v] = rank, (u, v), rank
+        #: Token -> its state. States are named by a token that leads there, the first one by -1: a token without gadgets of its own
+        #: shares the state of its second part, if that part's state is still what it was then.
+        last: dict[int, int] = {}
+        for (u, _), rank in self.merged.items():
+            last[u] = rank
+        self.target: dict[int, int] = {}
+        for t, rank in self.born.items():
+            own = t in last or t in self.parts and last.get(self.parts[t][1], -1) > rank
+            self.target[t] = t if own else self.target[self.parts[t][1]] if t in self.parts else -1
         #: The tree of labels: node -> symbol -> node, and the token that ends at a node. A token with the word end is the path of
         #: its symbols, of which the last one has the word end.
         self.children: list[dict[str, int]] = [{}]
@@ -77,21 +80,25 @@ class Automaton:
                 self.ends[node] = i
         self.forget()
 
-    def _has(self, state: int, token: int) -> bool:
-        """Whether the state has an arc with this token."""
-        while state:
-            if token == self.removed[state]:
+    def has(self, u: int, v: int) -> bool:
+        """Whether the state of a token has an arc with another; -1 is the first state, which has all."""
+        if u < 0:
+            return True
+        born, merged, at = self.born, self.merged, 1 << 60
+        while True:
+            if merged.get((u, v), at) < at:
                 return False
-            if self.born[token] < self.birth[state]:
-                state = self.parent[state]
+            if born[v] >= born[u]:
+                if born[v] < 0:
+                    return True
+                at, v = born[v] + 1, self.parts[v][0]  # with the gadget that made v
             else:
-                token = self.parts[token][0]
-        return True
+                at, u = born[u], self.parts[u][1]  # before the gadget that made u
 
     def forget(self) -> None:
         """Empty the table. State 0 is the start: no arc under way but those that leave the automaton's first state."""
         self.table: list[dict[str, tuple[int, int]]] = [{}]
-        self.sets: list[tuple[tuple[int, int], ...]] = [((0, 0),)]
+        self.sets: list[tuple[tuple[int, int], ...]] = [((-1, 0),)]
         self.number: dict[tuple[tuple[int, int], ...], int] = {self.sets[0]: 0}
         self.entries = 0
 
@@ -105,7 +112,7 @@ class Automaton:
             if self.children[below]:
                 under_way.append((left, below))
             end = self.ends[below]
-            if end >= 0 and self._has(left, end):
+            if end >= 0 and self.has(left, end):
                 token, target = end, self.target[end]
         if token < 0:
             found = (-1, -1)

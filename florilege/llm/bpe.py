@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import unicodedata
 from functools import lru_cache
 
@@ -40,12 +39,10 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
-@lru_cache(maxsize=1)
-def unassigned() -> re.Pattern:
-    """Any code point that is not assigned in Python's Unicode version. The library's may be newer, with letters and pairs of case there."""
-    free = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
-    ends = [0, *[k for k in range(1, len(free)) if free[k] != free[k - 1] + 1], len(free)]
-    return re.compile("[" + "".join(f"{chr(free[a])}-{chr(free[b - 1])}" for a, b in zip(ends, ends[1:])) + "]")
+@lru_cache(maxsize=4096)
+def unassigned(c: str) -> bool:
+    """Whether Python's Unicode version lacks a code point. The library's may be newer, with letters and pairs of case there."""
+    return unicodedata.category(c) == "Cn"
 
 
 class Encoder:
@@ -76,7 +73,7 @@ class Encoder:
 
     def pieces(self, part: str) -> list[tuple[str, str, int]]:
         """What is between added tokens: normalised (lower case by code point: no final sigma), cut, and encoded."""
-        if not part.isascii() and unassigned().search(part):
+        if not part.isascii() and any(map(unassigned, set(part))):
             # Only the library knows its Unicode version: it normalises and cuts these texts, the automaton encodes them.
             self.library = library = self.library or Tokenizer.from_str(self.content)
             return [self._joined(self.automaton.encode(p)) for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(part))]
