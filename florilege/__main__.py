@@ -42,7 +42,7 @@ def main(arguments: list[str] | None = None) -> None:
     settings = read_settings(a.config) if a.config else PRESETS[a.group]
     corpus = None
     if a.corpus:
-        corpus = files.corpus(spark, *a.corpus).withColumns({"file_path": F.col("_metadata.file_path"), "doc_i": F.monotonically_increasing_id()})
+        corpus = files.with_places(files.corpus(spark, *a.corpus))
     nodes, aliases = files.gazetteer(spark, a.gazetteer) if a.gazetteer else (None, None)
     if a.places:
         read = lambda path, reader: reader(spark, path) if path else None

@@ -73,13 +73,52 @@ REGIONS = replace(GEONAMES, people_group="regions")
 PRESETS = {s.people_group: s for s in (GEONAMES, RELIGIONS, OCCUPATIONS, REGIONS)}
 
 
-def read_settings(path: str | Path) -> Settings:
-    """A flat YAML file of the fields above on top of the preset its people_group names; unknown names are errors."""
+#: Where a file that nests settings by component has them; what else it has (storage, models, files) is for other readers.
+NESTED = {
+    "candidate_labels": "candidate_labels", "counter_labels": "counter_labels", "required_true_labels": "required_labels",
+    "generic_sentence_filter.filter.is-short-enough.max_length": "max_length",
+    "generic_sentence_filter.filter.has-no-bad-first-word.words": "bad_first_words",
+    "generic_sentence_filter.filter.has-no-pronouns.words": "pronouns",
+    "generic_sentence_filter.filter.not-from-unreliable-source.domain_tails": "domain_tails",
+    "generic_sentence_filter.filter.all-propn-have-acceptable-ne-labels.excluded": "excluded_entities",
+    "generic_sentence_filter.excluded_filters": "excluded_filters",
+    "culture_classifier.candidate_labels": "candidate_labels", "culture_classifier.counter_labels": "counter_labels", "culture_classifier.required_true_labels": "required_labels",
+    "culture_classifier.overwrite": "overwrite_labels",
+    "clustering_component.query_db.positive_threshold": "positive_threshold", "clustering_component.query_db.negative_threshold": "negative_threshold",
+    "clustering_component.query_db.max_sentences": "max_sentences", "clustering_component.hac.threshold": "ward_threshold",
+    "representative_generator.min_cluster_size": "min_cluster_size", "representative_generator.cluster_limit": "cluster_limit", "representative_generator.overwrite": "overwrite_reps",
+    "ranking_component.idf_threshold": "idf_threshold", "ranking_component.concept_threshold": "concept_threshold", "ranking_component.aspect_map": "aspects",
+}
+
+
+def flattened(given: dict) -> dict:
+    """Settings nested by component, as fields by name. The group is one of the presets that has a section of its own."""
+
+    def leaf(path: str):
+        at = given if "." not in path else given.get("pipeline_components") or {}
+        for name in path.split("."):
+            at = at.get(name) if isinstance(at, dict) else None
+        return at
+
+    found = {field_name: value for path, field_name in NESTED.items() if (value := leaf(path)) is not None}
+    group = next((name for name in PRESETS if name in given), None)
+    return ({"people_group": group} if group else {}) | found
+
+
+def parse_settings(text: str) -> Settings:
+    """Settings from YAML on top of the preset its people_group names: the fields above, whose unknown names are errors, or a file that
+    nests them by component (it has pipeline_components)."""
     import yaml
 
-    given = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+    given = yaml.safe_load(text) or {}
+    if "pipeline_components" in given:
+        given = flattened(given)
     base = PRESETS.get(given.get("people_group", "geonames"), GEONAMES)
     known = {f.name for f in fields(Settings)}
     if unknown := set(given) - known:
         raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
     return replace(base, **{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+
+
+def read_settings(path: str | Path) -> Settings:
+    return parse_settings(Path(path).read_text(encoding="utf-8"))

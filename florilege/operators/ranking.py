@@ -58,7 +58,8 @@ def concepts(members: DataFrame, keys: list[str], s: Settings, aliases: DataFram
 
     each = F.flatten(F.array(*[sized(n) for n in range(1, s.max_gram + 1)]))
     extra = ["node_id"] if aliases is not None and "node_id" not in keys else []
-    grams = members.select(*keys, *extra, F.monotonically_increasing_id().alias("_s"), F.explode(each).alias("g")).select(*keys, *extra, "_s", "g.n", "g.gram")
+    numbered = members.select(*keys, *extra, "tokens", F.monotonically_increasing_id().alias("_s"))  # a number for each sentence, so before the grams are
+    grams = numbered.select(*keys, *extra, "_s", F.explode(each).alias("g")).select(*keys, *extra, "_s", "g.n", "g.gram")
     if ascii_only:
         grams = grams.withColumn("gram", transliterated(F.col("gram")))
     if forms is not None:

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from florilege import schemas
-from florilege.config import GEONAMES, OCCUPATIONS
+from florilege.config import GEONAMES, OCCUPATIONS, parse_settings
 from florilege.functions import text as T
 from florilege.operators import annotate, clusters, joins, matching, predicates, ranking, tree, values, vectors
+from florilege.plans import stages
 from florilege.runtime import prepare, scratch, spread, table, written
 from florilege.sources import files
 
@@ -642,6 +643,126 @@ def masking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", T.masked(F.col("text"), spans).alias("masked"))
 
 
+# Operators of the whole: listed files, exports, settings, trees, names, annotation of representatives.
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) - 1 AS doc_i FROM documents WHERE doc_id % 3 < 2")
+def listed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three folders of annotated documents, the two that a list names, one of them twice."""
+    path, docs = _folder(spark, "listed"), table(spark, sf_dir, "documents").select("doc_id")
+    for k in range(3):
+        files.write_annotated(docs.filter(F.col("doc_id") % 3 == k).coalesce(1).sortWithinPartitions("doc_id"), f"{path}/{k}")
+    spark.createDataFrame([(f" {path}/0",), ("",), (f"{path}/1 ",), (f"{path}/0",)], "value string").coalesce(1).write.text(f"{path}/list")
+    return files.listed_files(spark, f"{path}/list").select("doc_id", F.col("doc_i").cast("long").alias("doc_i"))
+
+
+@query("SELECT false AS unasked, true AS there, true AS asked, false AS left_over")
+def collections_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "reset")
+    files.write_collection(table(spark, sf_dir, "region"), f"{path}/t", "r_regionkey")
+    steps = [files.reset(spark, path), files.exists(spark, path), files.reset(spark, path, confirm=True), files.exists(spark, path)]
+    return spark.createDataFrame([tuple(map(bool, steps))], "unasked boolean, there boolean, asked boolean, left_over boolean")
+
+
+@query("SELECT c_custkey::VARCHAR AS id, c_nationkey::VARCHAR AS geoname_id, 'en' AS iso_language, c_name AS alternate_name, c_custkey % 2 = 0 AS is_preferred, false AS is_short FROM customer")
+def alternate_names_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, key = _folder(spark, "alternates"), F.col("c_custkey")
+    flags = {"is_preferred": key % 2 == 0, "is_short": F.lit(False), "is_colloquial": F.lit(False), "is_historic": F.lit(True)}
+    rows = table(spark, sf_dir, "customer").select(key.cast("string").alias("alternate_name_id"), F.col("c_nationkey").cast("string").alias("geoname_id"), F.lit("en").alias("iso_language"), F.col("c_name").alias("alternate_name"), *[v.alias(k) for k, v in flags.items()], F.lit("").alias("from_date"), F.lit(None).cast("string").alias("to_date"))
+    files.write_alternate_names(rows, path)
+    return files.alternate_names(spark, path).select(F.col("alternate_name_id").alias("id"), "geoname_id", "iso_language", "alternate_name", "is_preferred", "is_short")
+
+
+@query("SELECT c_nationkey::VARCHAR AS node_id, list_sort(list(DISTINCT c_mktsegment)) AS demonyms FROM customer GROUP BY 1")
+def demonyms_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "demonyms")
+    files.write_demonyms(table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("node_id"), F.col("c_mktsegment").alias("demonym")), path)
+    return spark.read.schema("node_id string, demonyms array<string>").json(path)
+
+
+#: A file of settings in the form that nests them by component.
+NESTED = """
+candidate_labels: &labels [food, drink]
+counter_labels: []
+mongo_db: {host: localhost}
+pipeline_components:
+  generic_sentence_filter:
+    filter: {is-short-enough: {max_length: &n 90}, has-no-pronouns: {words: [he]}}
+    excluded_filters: [www]
+  culture_classifier: {candidate_labels: *labels, overwrite: true, batch_size: 32}
+  clustering_component: {query_db: {max_sentences: 7}, hac: {threshold: 1.25}}
+  ranking_component: {rep_filter: {max_length: *n}, aspect_map: {ritual: rituals}}
+"""
+
+
+@query("""SELECT * FROM (VALUES ('candidate_labels', 'food,drink'), ('counter_labels', ''), ('excluded_filters', 'www'), ('max_length', '90'), ('max_sentences', '7'),
+  ('overwrite_labels', 'true'), ('pronouns', 'he'), ('ward_threshold', '1.25')) AS t(name, value)""")
+def settings_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = parse_settings(NESTED)
+    plain = lambda v: ",".join(v) if isinstance(v, tuple) else str(v).lower()
+    names = ("candidate_labels", "counter_labels", "excluded_filters", "max_length", "max_sentences", "overwrite_labels", "pronouns", "ward_threshold")
+    return spark.createDataFrame([(n, plain(getattr(found, n))) for n in names], "name string, value string")
+
+
+@query("SELECT * FROM (VALUES (1, 'match groups'), (2, 'filter generic sentences'), (3, 'label sentences'), (4, 'cluster sentences'), (5, 'choose representatives'), (6, 'rank assertions')) AS t(number, name)")
+def stage_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(int(x.split(". ")[0]), x.split(". ")[1]) for x in stages.stage_list()], "number int, name string")
+
+
+@query("""WITH p AS (SELECT 'R' || r_regionkey AS node_id, 'W' AS parent_id, 1 AS level FROM region UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey, 2 FROM nation WHERE n_nationkey % 4 <> 0
+  UNION ALL SELECT 'S' || s_suppkey, CASE WHEN n_nationkey % 4 <> 0 THEN 'N' || n_nationkey ELSE 'R' || n_regionkey END, CASE WHEN n_nationkey % 4 <> 0 THEN 3 ELSE 2 END
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 5 <> 0)
+SELECT * FROM p UNION ALL SELECT 'W', NULL, 0""")
+def place_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth nation is no place, so its suppliers climb past it; every fifth supplier is too small; a continent without parent and a place below nothing go."""
+    rows = places_tree(spark, sf_dir)
+    number = F.regexp_extract("node_id", "[0-9]+", 0).cast("int")
+    kind = F.substring("node_id", 1, 1)
+    code = F.when(kind == "R", "CONT").when((kind == "N") & (number % 4 == 0), "XXX").when(kind == "N", "PCLI").otherwise("PPL")
+    people = F.when((kind == "S") & (number % 5 == 0), 999).otherwise(1000).cast("bigint")
+    places = rows.select(F.col("node_id").alias("geonameid"), "name", code.alias("feature_code"), people.alias("population"), F.lit("1").alias("admin2"))
+    places = places.unionByName(spark.createDataFrame([("L", "lost", "CONT", 1000, "1"), ("M", "below nothing", "PPL", 1000, "1"), ("B", "below the root", "PPL", 1000, "1")], places.schema))
+    up = rows.filter("parent_id is not null").select(F.col("node_id").alias("child_id"), "parent_id").union(spark.createDataFrame([("M", "nowhere"), ("B", "W")], "a string, b string"))
+    return tree.place_tree(places, up, root="W").select("node_id", "parent_id", "level")
+
+
+NAMED = [("g0", "tion"), ("g0", "thin ther"), ("g1", "La Tion"), ("g2", "ing"), ("g3", "de la"), ("g4", "une")]
+FORMS = [("les", "le"), ("des", "de"), ("fries", "fry"), ("unes", "une"), ("tions", "tion"), ("ases", "as")]
+
+
+@query(f"""WITH {CONCEPT_SQL.split("cn AS")[0]} nm AS (SELECT * FROM (VALUES {", ".join(f"('{n}', '{a.lower()}')" for n, a in NAMED)}) AS t(node_id, alias)),
+fo AS (SELECT * FROM (VALUES {", ".join(f"('{h}', '{t}')" for h, t in FORMS)}) AS t(head, tail)),
+ba AS (SELECT conv_id, turn, n, CASE WHEN suffix(gram, 's') AND gram <> 'fries' THEN coalesce(tail, gram) ELSE gram END AS gram FROM ok LEFT JOIN fo ON gram = head),
+kp AS (SELECT conv_id, n, gram, cnt FROM (SELECT conv_id, n, gram, count(DISTINCT turn) AS cnt FROM ba GROUP BY ALL) JOIN sz USING (conv_id) WHERE cnt / n_sentences::DOUBLE >= 0.6
+  AND NOT EXISTS (SELECT 1 FROM nm WHERE node_id = 'g' || conv_id % 5 AND (contains(' ' || alias || ' ', ' ' || gram || ' ') OR list_contains(string_split(gram, ' '), alias))))
+SELECT conv_id, list(gram ORDER BY cnt DESC, n, gram) AS concepts FROM kp a
+WHERE NOT EXISTS (SELECT 1 FROM kp b WHERE a.conv_id = b.conv_id AND b.n > a.n AND contains(' ' || b.gram || ' ', ' ' || a.gram || ' ')) GROUP BY conv_id""")
+def concepts_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts in base form, without those that hold or are part of the group's own names."""
+    rows = spread(table(spark, sf_dir, "conversations")).select("conv_id", F.concat(F.lit("g"), F.col("conv_id") % 5).alias("node_id"), T.surface(F.col("text")).alias("tokens"))
+    names, forms = spark.createDataFrame(NAMED, "node_id string, alias string"), spark.createDataFrame(FORMS, "head string, tail string")
+    return ranking.concepts(rows, ["conv_id"], GEONAMES, names, forms, ascii_only=False)
+
+
+@query(f"""WITH v AS (SELECT conv_id AS doc_id, turn AS sent_i, (string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)))[1] AS text FROM conversations), {NOTED_SQL.split("FROM s), ", 1)[1]}
+SELECT doc_id AS conv_id, sent_i AS turn, count(*) AS n_tokens, max(root)::INT AS root, count(*) FILTER (pos = 'PROPN') AS n_entities, count(*) FILTER (i = root AND tag = 'VBZ') AS n_present FROM an GROUP BY ALL""")
+def annotated_reps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = noted(spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", T.first_sentence(F.col("text")).alias("text"))).filter(F.size("toks") > 0)
+    root = F.get(F.filter("toks", lambda t: t["head"] == t["i"]), F.lit(0))
+    return rows.select("conv_id", "turn", F.size("toks").cast("long").alias("n_tokens"), root["i"].alias("root"), F.size("ents").cast("long").alias("n_entities"), (root["tag"] == "VBZ").cast("long").alias("n_present"))
+
+
+LEXICONS = {"food": ["the", "tion", "la"], "drink": ["de", "ing"]}
+
+
+@query(f"WITH {SENT_SQL}, k AS (SELECT doc_id, sent_i, list_transform({SURFACE_SQL}, lambda x: lower(x)) AS t FROM s) SELECT doc_id, sent_i, " + ", ".join(f"len(list_filter(t, lambda x: x IN {LISTED(w)}))::DOUBLE / (len(list_filter(t, lambda x: x IN {LISTED(w)})) + 1) AS {k}" for k, w in LEXICONS.items()) + " FROM k")
+def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Independent scores of labels by the lexicon provider."""
+    rows = sentences(spark, sf_dir).select(F.struct("doc_id", "sent_i").alias("sentence_id"), T.surface(F.col("text")).alias("tokens"))
+    scores = annotate.lexicon_scorer(LEXICONS)(rows)
+    return scores.select("sentence_id.doc_id", "sentence_id.sent_i", *[F.col("scores")[k].alias(k) for k in LEXICONS])
+
+
 @query()
 def ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Not in SQL; tests hold it against naive Ward linkage."""

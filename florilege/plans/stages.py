@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from florilege.config import Settings
-from florilege.functions.text import surface, tokens
+from florilege.functions.text import TOKEN, surface, tokens
 from florilege.operators import annotate, clusters, joins, matching, predicates, ranking
 from florilege.runtime import written
 from florilege.sources import files
@@ -48,23 +48,49 @@ class Context:
         return self.spark.read.parquet(path)
 
     def exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+        self.settle(path)
+        return files.exists(self.spark, path)
 
     def replace(self, rows: DataFrame, path: str, *keys: str) -> None:
-        """Write a table anew, also where it is read from itself: to a side path first, which then takes its place."""
+        """Write a table anew, also where it is read from itself: to a side path first, which is then renamed. A crash in between
+        leaves the old table or the new one, which `settle` puts in its place."""
+        self.settle(path)
         files.write_collection(rows, f"{path}.new", *keys, mode="overwrite")
-        self.read(f"{path}.new").write.mode("overwrite").parquet(path)
+        files.delete(self.spark, path)
+        files.rename(self.spark, f"{path}.new", path)
+
+    def settle(self, path: str) -> None:
+        """Finish what a crash may have left: a whole new table takes the place of a missing one, a part of one goes."""
+        if files.exists(self.spark, f"{path}.new"):
+            if files.exists(self.spark, f"{path}.new/_SUCCESS") and not files.exists(self.spark, path):
+                files.rename(self.spark, f"{path}.new", path)
+            else:
+                files.delete(self.spark, f"{path}.new")
+
+    def all_of(self, name: str, *keys: str) -> DataFrame:
+        """A table of the first two stages with what streams have added to it; a key that both have counts once."""
+        path, added = self.where(name), f"{self.where(name)}_arrivals"
+        self.settle(path)
+        if not files.exists(self.spark, added):
+            return self.read(path)
+        rows = self.read(added).drop("batch").dropDuplicates(list(keys))
+        return files.upsert(rows, self.read(path), *keys) if files.exists(self.spark, path) else rows
+
+    def of_nodes(self, rows: DataFrame, wanted: bool = True) -> DataFrame:
+        """rows of the requested nodes, or of the others."""
+        ids = self.spark.createDataFrame([(n,) for n in sorted({*self.node_ids})], "node_id string")
+        return rows.join(ids, "node_id", "left_semi" if wanted else "left_anti")
+
+
+def mentions(c: Context, rows: DataFrame) -> DataFrame:
+    """Matches in annotated sentences with `words`: entities for places, aliases for flat groups."""
+    return matching.entity_matches(rows, c.aliases) if c.settings.people_group == "geonames" else matching.gazetteer_matches(rows, c.aliases)
 
 
 def match(c: Context) -> None:
     """1: sentences with a match, and their first match of each node. Ids follow from the place of a sentence, so a rerun adds nothing twice."""
     rows = c.annotator(annotate.sentence_rows(c.corpus, repair=True)).withColumn("words", tokens(F.col("raw")))
-    if c.settings.people_group == "geonames":
-        found = matching.entity_matches(rows, c.aliases)
-    else:
-        found = matching.gazetteer_matches(rows, c.aliases)
+    found = mentions(c, rows)
     c.replace(matching.first_matches(found), c.where("matches"), "sentence_id", "node_id")
     known = c.read(c.where("matches")).select("sentence_id").distinct()
     c.replace(rows.join(known, "sentence_id", "left_semi").drop("words"), c.where("sentences"), "sentence_id")
@@ -72,7 +98,7 @@ def match(c: Context) -> None:
 
 def filter_generic(c: Context) -> None:
     """2: the sentences of the corpus's files that are generic. Predicates see the raw text."""
-    rows = c.read(c.where("sentences"))
+    rows = c.all_of("sentences", "sentence_id")
     rows = rows if c.corpus is None else joins.in_files(rows, c.corpus)
     verdicts = predicates.generic(rows.withColumn("text", F.col("raw")), c.settings)
     if c.exists(c.where("generic_sentences")):
@@ -84,7 +110,7 @@ def label(c: Context) -> None:
     """3: scores of the generic sentences that have none yet (of all, on overwrite)."""
     if c.scorer is None:
         raise ValueError("labelling needs a scorer")
-    rows = joins.generic_only(c.read(c.where("sentences")), c.read(c.where("generic_sentences")))
+    rows = joins.generic_only(c.all_of("sentences", "sentence_id"), c.all_of("generic_sentences", "sentence_id"))
     done = c.exists(c.where("labels"))
     old = c.read(c.where("labels")) if done else None
     new = c.scorer(joins.not_yet(rows, old, overwrite=c.settings.overwrite_labels) if done else rows)
@@ -94,26 +120,26 @@ def label(c: Context) -> None:
 def cluster(c: Context) -> None:
     """4: clusters of the best sentences of each requested node for the facet; a rerun replaces the nodes' clusters."""
     labels = c.read(c.where("labels")).filter(joins.passes(F.col("scores"), c.facet, c.settings))
-    labels = joins.generic_only(labels, c.read(c.where("generic_sentences")))
-    rows = joins.labelled(labels, c.read(c.where("sentences"))).select("sentence_id", "text", F.try_element_at("scores", F.lit(c.facet)).alias("score"))
-    found = c.read(c.where("matches")).filter(F.col("node_id").isin(*c.node_ids)).select("sentence_id", "node_id")
+    labels = joins.generic_only(labels, c.all_of("generic_sentences", "sentence_id"))
+    rows = joins.labelled(labels, c.all_of("sentences", "sentence_id")).select("sentence_id", "text", F.try_element_at("scores", F.lit(c.facet)).alias("score"))
+    found = c.of_nodes(c.all_of("matches", "sentence_id", "node_id")).select("sentence_id", "node_id")
     best = clusters.top(rows.join(found, "sentence_id"), "score", c.settings.max_sentences)
     out = clusters.clustered(c.encoder(best).select("node_id", "sentence_id", "position", "embedding"), c.settings.ward_threshold)
     path = c.of_facet("clusters")
     if c.exists(path):
-        out = c.read(path).filter(~F.col("node_id").isin(*c.node_ids)).unionByName(out)
+        out = c.of_nodes(c.read(path), wanted=False).select(*out.columns).unionByName(out)
     c.replace(out, path, "node_id", "cluster_rank")
 
 
 def represent(c: Context) -> None:
     """5: a representative for each cluster within the limits; nodes that have some are left, or done again on overwrite."""
     path, s = c.of_facet("clusters_with_reps"), c.settings
-    rows = clusters.cut(c.read(c.of_facet("clusters")).filter(F.col("node_id").isin(*c.node_ids)), s.cluster_limit, s.min_cluster_size)
+    rows = clusters.cut(c.of_nodes(c.read(c.of_facet("clusters"))), s.cluster_limit, s.min_cluster_size)
     old = c.read(path) if c.exists(path) else None
     if old is not None:
         rows = joins.not_yet(rows, old, "node_id", s.overwrite_reps)
     rows = rows.withColumn("cluster_id", F.concat_ws(":", "node_id", F.lit(c.facet), "cluster_rank"))
-    texts = joins.members(rows, c.read(c.where("sentences")).select("sentence_id", "text"))
+    texts = joins.members(rows, c.all_of("sentences", "sentence_id").select("sentence_id", "text"))
     reps = clusters.representatives(texts, ["cluster_id"], c.summariser, s.prompt_limit)
     out = rows.join(reps, "cluster_id").select("node_id", "cluster_id", "sentence_ids", "rep")
     c.replace(files.upsert(old, out, "node_id") if old is not None else out, path, "cluster_id")
@@ -127,9 +153,9 @@ def rank(c: Context) -> None:
 
 def assertions(c: Context) -> DataFrame:
     s, facet = c.settings, c.facet
-    reps = c.read(c.of_facet("clusters_with_reps")).filter(F.col("node_id").isin(*c.node_ids))
+    reps = c.of_nodes(c.read(c.of_facet("clusters_with_reps")))
     rows = ranking.candidate_reps(reps, facet, s)
-    sentences = c.read(c.where("sentences")).select("sentence_id", "text", "tokens", "url")
+    sentences = c.all_of("sentences", "sentence_id").select("sentence_id", "text", "tokens", "url")
     own = joins.members(rows.select("cluster_id", "node_id", "sentence_ids"), sentences)
     keys = ["cluster_id"]
     diverse = ranking.diversity(own, keys, s.diversity).filter("diverse").select(*keys)
@@ -139,8 +165,9 @@ def assertions(c: Context) -> DataFrame:
     rows = rows.join(diverse, keys, "left_semi").join(means, keys).join(listed, keys).join(found, keys)
     rows = joins.named(rows.withColumn("size", F.size("sentence_ids")), c.nodes).withColumnRenamed("cluster_id", "id")
     noted = written(c.annotator(rows.withColumn("tokens", surface(F.col("rep")))), "annotated")
-    spans = matching.gazetteer_matches(noted.select(F.col("id").alias("sentence_id"), tokens(F.col("rep")).alias("words")), c.aliases)
-    spans = placed(noted.select("id", "rep"), spans.withColumnRenamed("sentence_id", "id"))
+    spans = mentions(c, noted.select(F.col("id").alias("sentence_id"), tokens(F.col("rep")).alias("words"), "ents"))
+    # Entities are counted in tokens as they stand, aliases in runs of letters and digits.
+    spans = placed(noted.select("id", "rep"), spans.withColumnRenamed("sentence_id", "id"), TOKEN if s.people_group == "geonames" else RUN)
     noted = noted.join(spans, "id", "left").withColumn("spans", F.coalesce("spans", F.expr("array()").cast("array<struct<start:int,end:int,text:string>>")))
     noted = noted.withColumn("has_subjects", (F.size("spans") > 0).cast("int")).withColumn("matches", F.transform("spans", lambda m: F.struct(m["text"].alias("text"), m["start"].alias("start"), m["end"].alias("end"))))
     if s.people_group == "occupations":
@@ -154,15 +181,16 @@ def assertions(c: Context) -> DataFrame:
     return ranking.score(c.encoder(noted, "rep"), facet, s, len(set(c.node_ids)))
 
 
-def placed(reps: DataFrame, spans: DataFrame) -> DataFrame:
-    """id and spans (start and end in characters, text) from matches in tokens: tokens are runs of letters and digits."""
-    pieces = F.filter(F.split(F.regexp_replace("rep", r"([\p{L}\p{N}]+)", "\u0001$1\u0001"), "\u0001"), lambda p: F.length(p) >= 0)
-    words = reps.select("id", "rep", F.posexplode(pieces).alias("k", "piece"))
-    from pyspark.sql import Window
+RUN = r"[\p{L}\p{N}]+"
 
+
+def placed(reps: DataFrame, spans: DataFrame, token: str = RUN) -> DataFrame:
+    """id and spans (start and end in characters, text) from matches in tokens, which a pattern finds."""
+    pieces = F.split(F.regexp_replace("rep", f"({token})", "\u0001$1\u0001"), "\u0001")
+    words = reps.select("id", "rep", F.posexplode(pieces).alias("k", "piece"))
     at = Window.partitionBy("id").orderBy("k")
     words = words.withColumn("begin", F.coalesce(F.sum(F.length("piece")).over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    words = words.filter(F.col("piece").rlike(r"^[\p{L}\p{N}]+$")).withColumn("w", (F.row_number().over(at) - 1).cast("int"))
+    words = words.filter(F.col("piece").rlike(f"^(?:{token})$")).withColumn("w", (F.row_number().over(at) - 1).cast("int"))
     words = words.withColumn("finish", F.col("begin") + F.length("piece"))
     first = spans.join(words.select("id", F.col("w").alias("match_start"), "begin", "rep"), ["id", "match_start"])
     both = first.join(words.select("id", (F.col("w") + 1).alias("match_end"), "finish"), ["id", "match_end"])

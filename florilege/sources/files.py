@@ -39,6 +39,15 @@ def listed_files(spark: SparkSession, path: str) -> DataFrame:
     return docs.withColumn("doc_i", F.row_number().over(Window.partitionBy("file_path").orderBy(F.col("_metadata.row_index"))) - 1)
 
 
+def with_places(docs: DataFrame) -> DataFrame:
+    """Documents of a file scan with file_path and doc_i, a number that follows from a document's file and content: it stays when files
+    are split in another way or grow. Documents of a file that are equal in all columns have numbers of their own."""
+    own = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.withColumns({"file_path": F.col("_metadata.file_path"), "_own": own})
+    nth = F.row_number().over(Window.partitionBy("file_path", "_own").orderBy("_own"))
+    return rows.withColumn("doc_i", F.when(nth == 1, F.col("_own")).otherwise(F.xxhash64("_own", nth))).drop("_own")
+
+
 def node_ids(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).select(F.col("value").alias("node_id"))
 
@@ -169,10 +178,27 @@ def write_collection(rows: DataFrame, path: str, *keys: str, mode: str = "error"
     writer.parquet(path)
 
 
+def _store(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, folder = _store(spark, path)
+    return store.exists(folder)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    store, folder = _store(spark, path)
+    return store.delete(folder, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    store, folder = _store(spark, path)
+    if not store.rename(folder, _store(spark, to)[1]):
+        raise OSError(f"{path} can't be renamed to {to}")
+
+
 def reset(spark: SparkSession, path: str, confirm: bool = False) -> bool:
     """Delete all collections below a folder, if confirmed; whether it did."""
-    if not confirm:
-        return False
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(conf).delete(folder, True)
+    return confirm and delete(spark, path)

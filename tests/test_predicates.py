@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from florilege.config import OCCUPATIONS, PRESETS, RELIGIONS, Settings, read_settings
+from florilege.config import OCCUPATIONS, PRESETS, RELIGIONS, Settings, parse_settings, read_settings
 from florilege.functions.text import surface
 from florilege.operators import annotate, predicates
 
@@ -59,3 +59,27 @@ def test_settings(tmp_path):
         read_settings(path)
     with pytest.raises(ValueError):
         Settings(max_sentences=0)
+
+
+def test_addresses_of_mail_are_tokens(spark):
+    rows = spark.createDataFrame([("Write to joe@mail.org today.",), ("Pay 5 @ noon.",), ("a.b+c@x-y.co.uk",)], "text string")
+    got = [r.tokens for r in rows.select(surface(F.col("text")).alias("tokens")).collect()]
+    assert got == [["Write", "to", "joe@mail.org", "today", "."], ["Pay", "5", "@", "noon", "."], ["a.b+c@x-y.co.uk"]]
+    noted = annotate.rule_annotator(rows.withColumn("tokens", surface(F.col("text"))))
+    assert [r[0] for r in noted.select(predicates.PREDICATES["has-no-email"](PRESETS["geonames"])).collect()] == [False, True, False]
+
+
+def test_nested_settings():
+    text = """
+occupations: {filepath: x}
+candidate_labels: &c [food]
+required_true_labels: [food]
+pipeline_components:
+  generic_sentence_filter: {filter: {is-short-enough: {max_length: 77}}, excluded_filters: [com]}
+  representative_generator: {cluster_limit: 9, overwrite: false}
+  culture_classifier: {candidate_labels: *c, model: x}
+"""
+    s = parse_settings(text)
+    assert (s.people_group, s.candidate_labels, s.required_labels, s.max_length, s.excluded_filters, s.cluster_limit, s.overwrite_reps, s.overwrite_labels) == ("occupations", ("food",), ("food",), 77, ("com",), 9, False, True)
+    with pytest.raises(ValueError):
+        parse_settings("no_such: 1")
