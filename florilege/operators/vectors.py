@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,40 +11,45 @@ from pyspark.sql import functions as F
 
 from florilege.runtime import prepare
 
-#: Vectors of a block: a pair of blocks is one task's work, 4096 squared similarities at most.
+#: Vectors of a block, about: two blocks are one call, with the square of this in similarities.
 BLOCK = 4096
 
 
 def similar_counts(rows: DataFrame, key: str, vector: str, threshold: float, groups: list[str] | None = None) -> DataFrame:
     """key and df: the rows, itself included, whose cosine with it reaches the threshold, within groups.
 
-    Blocks of rows meet each other in pairs: a block is packed to one row and goes to as many pairs as there are
-    blocks, and a pair returns counts, so that no pair of rows is ever a row. A zero vector resembles nothing."""
+    A group's rows are dealt into blocks, as many as it needs; each two blocks, and each block with itself, are one call, so that no
+    pair of rows is ever a row, and a worker holds two blocks at a time. Bytes shuffled grow with the square of a group, as
+    the definition's work does. A zero vector resembles nothing; a null key counts like any other."""
     prepare(rows.sparkSession)
     groups = groups or []
     kind = {c: rows.schema[c].dataType.simpleString() for c in [key, *groups]}
-    n = rows.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0 if groups else rows.count()
-    blocks = max(1, -(-n // BLOCK))
-    dealt = rows.select(*groups, F.col(key), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
-    packed = dealt.groupBy(*groups, "b").agg(F.collect_list(F.struct(F.col(key), "v")).alias("rows"))
-    other = packed.select(*[F.col(g).alias(f"_{g}") for g in groups], F.col("b").alias("c"), F.col("rows").alias("others"))
-    on = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups] + [F.lit(0) == F.lit(0)]
-    spread = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("want"))
-    pairs = spread.join(other, [*on[:-1], F.col("want") == F.col("c")]).select(*groups, "rows", "others")
-
-    def unit(found: list) -> np.ndarray:
-        v = np.array([r["v"] for r in found], np.float64)
+    dealt = rows.select(*groups, F.col(key), F.col(vector).cast("array<double>").alias("v"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups], F.lit(True))
+    sizes = rows.groupBy(*[F.col(g).alias(f"_{g}") for g in groups]).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK))).cast("int").alias("n"))
+    dealt = dealt.join(sizes, same) if groups else dealt.withColumn("n", F.lit(sizes.first().n))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(key), F.col("n")).cast("int"))
+    pair = [*groups, "b", "c"]
+    left = dealt.select(*groups, key, "v", F.col("own").alias("b"), F.explode(F.sequence(F.col("own"), F.col("n") - 1)).alias("c"))
+    right = dealt.select(*groups, key, "v", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("b"), F.col("own").alias("c"))
+
+    def unit(found: pd.Series) -> np.ndarray:
+        v = np.array(found.tolist(), np.float64)
         length = np.linalg.norm(v, axis=1, keepdims=True)
         return np.divide(v, length, out=np.zeros_like(v), where=length > 0)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                hits = (unit(row.rows) @ unit(row.others).T >= threshold - 1e-12).sum(axis=1)
-                yield pd.DataFrame({**{g: getattr(row, g) for g in groups}, key: [r[key] for r in row.rows], "df": hits.astype(np.int64)})
+    def counted(part: pd.DataFrame, hits: np.ndarray) -> pd.DataFrame:
+        return part[[*groups, key]].assign(df=hits.astype(np.int64))
+
+    def run(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(other):
+            return counted(one[:0], np.zeros(0))
+        hits = unit(one["v"]) @ unit(other["v"]).T >= threshold - 1e-12
+        mine = counted(one, hits.sum(axis=1))
+        return mine if one["b"].iloc[0] == one["c"].iloc[0] else pd.concat([mine, counted(other, hits.sum(axis=0))])
 
     schema = ", ".join(f"{c} {kind[c]}" for c in [*groups, key]) + ", df bigint"
-    return pairs.mapInPandas(run, schema).groupBy(*groups, key).agg(F.sum("df").alias("df"))
+    return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(run, schema).groupBy(*groups, key).agg(F.sum("df").alias("df"))
 
 
 def inverse_frequency(counts: DataFrame, groups: list[str] | None = None) -> DataFrame:

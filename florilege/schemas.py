@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 CORPUS = "text string not null, timestamp string, url string"
-SENTENCES = "sentence_id string, file_path string, doc_i int, sent_i int, text string, tokens array<string>, url string"
+SENTENCES = "sentence_id string, file_path string, doc_i bigint, sent_i int, text string, tokens array<string>, url string"
 TOKEN = "struct<i:int,text:string,lower:string,pos:string,tag:string,dep:string,head:int,is_space:boolean,like_email:boolean>"
 ENTITY = "struct<start:int,end:int,text:string,label:string>"
 ANNOTATIONS = f"sentence_id string, toks array<{TOKEN}>, ents array<{ENTITY}>"
