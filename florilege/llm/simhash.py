@@ -3,7 +3,9 @@
 Fingerprints that differ in at most 4 bits are linked. The distinct fingerprints are dealt into buckets: with
 the 64 bits cut into m blocks, two linked fingerprints agree in at least m - 4 whole blocks, so each choice of
 m - 4 blocks gives a trie whose top levels must match exactly, and the fingerprints below one top node are one
-bucket. m follows the number of distinct fingerprints, so that buckets stay small; every m finds every link.
+bucket. m follows the number of distinct fingerprints, so that buckets stay small; every m finds every link. A bucket of more
+than HOT fingerprints is cut again: of BUDGET + 1 parts of its other bits, two linked fingerprints agree in one at least, so each
+part gives smaller buckets, and together they hold every link of the large one.
 
 In a bucket the trie (paths without branches compressed) joins itself: node pairs are taken down together, the
 differing bits of their fixed prefixes are added up, and a pair is pruned when they exceed the budget. A pair
@@ -12,7 +14,7 @@ spanning forest, never all pairs of a group of copies. Pairs are processed depth
 memory by the bucket's size.
 
 Exact copies share a fingerprint and are one leaf. Null, empty and blank texts have fingerprint 0 and are linked
-like any other. Null ids take part, but a component's id is its smallest id that is not null. Repeated rows get
+like any other. Texts may be of any length: shingles are added up in blocks. Null ids take part, but a component's id is its smallest id that is not null. Repeated rows get
 equal results. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -33,6 +35,7 @@ from florilege.runtime import prepare, written
 BUDGET, SHINGLE, SEED = 4, 4, 42
 #: Node pairs taken at once, rows of whole buckets gathered before they are joined, and shingles added up at once.
 CHUNK, GATHER, BLOCK = 200_000, 200_000, 100_000
+HOT = 100_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -150,6 +153,13 @@ def masks(blocks: int, budget: int = BUDGET) -> list[int]:
     return [sum(chosen) for chosen in combinations(own, blocks - budget)]
 
 
+def finer(mask: int, budget: int = BUDGET) -> list[int]:
+    """The bits outside of a mask, in budget + 1 parts."""
+    free = [k for k in range(64) if not mask >> k & 1]
+    edges = [len(free) * k // (budget + 1) for k in range(budget + 2)]
+    return [sum(1 << k for k in free[a:b]) for a, b in zip(edges, edges[1:])]
+
+
 def blocks_for(n: int) -> int:
     """As many blocks as keep a bucket of evenly spread fingerprints under about a hundred."""
     return next((m for m in range(BUDGET + 1, BUDGET + 4) if n >> (64 * (m - BUDGET) // m) < 100), BUDGET + 4)
@@ -162,8 +172,16 @@ def _signed(x: int) -> int:
 def forest(nodes: DataFrame, n: int) -> DataFrame:
     """Links a, b between distinct fingerprints that connect what the links of all pairs connect."""
     prepare(nodes.sparkSession)
-    table = F.array([F.lit(_signed(m)) for m in masks(blocks_for(n))])
+    chosen = masks(blocks_for(n))
+    table = F.array([F.lit(_signed(m)) for m in chosen])
+    parts_of = F.array(*[F.array([F.lit(_signed(m)) for m in finer(c)]) for c in chosen])
     dealt = nodes.select("fp", F.posexplode(table).alias("trie", "mask")).select("trie", F.col("fp").bitwiseAND(F.col("mask")).alias("top"), "fp")
+    large = written(dealt.groupBy("trie", "top").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("trie", "top", F.lit(True).alias("hot")), "hot")
+    dealt = dealt.join(large, ["trie", "top"], "left")
+    cut = F.when(F.col("hot"), F.get(parts_of, F.col("trie"))).otherwise(F.array(F.lit(0).cast("long")))
+    dealt = dealt.select("trie", "top", "fp", F.posexplode(cut).alias("part", "mask")).select(
+        (F.col("trie") * (BUDGET + 1) + F.col("part")).alias("trie"), F.xxhash64("top", F.col("fp").bitwiseAND(F.col("mask"))).alias("top"), "fp"
+    )
     dealt = dealt.repartition("trie", "top").sortWithinPartitions("trie", "top", "fp")
 
     def links(trie: np.ndarray, top: np.ndarray, signed: np.ndarray) -> pa.RecordBatch:
@@ -180,12 +198,12 @@ def forest(nodes: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
         parts: list[list[np.ndarray]] = [[c] for c in held]
-        size = 0
+        size, enough = 0, GATHER
         for batch in batches:
             for part, column in zip(parts, batch.columns):
                 part.append(column.to_numpy(zero_copy_only=False))
             size += batch.num_rows
-            if size < GATHER:
+            if size < enough:
                 continue
             trie, top, fp = (np.concatenate(p) for p in parts)
             last = np.flatnonzero((trie != trie[-1]) | (top != top[-1]))
@@ -194,6 +212,7 @@ def forest(nodes: DataFrame, n: int) -> DataFrame:
                 yield links(trie[:cut], top[:cut], fp[:cut])
             parts = [[trie[cut:]], [top[cut:]], [fp[cut:]]]
             size = len(trie) - cut
+            enough = max(GATHER, 2 * size)  # a bucket that goes on is put together again when it has doubled
         trie, top, fp = (np.concatenate(p) for p in parts)
         if len(trie):
             yield links(trie, top, fp)

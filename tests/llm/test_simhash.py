@@ -55,10 +55,11 @@ def test_trie_join_is_brute_force(seed, centres, copies, monkeypatch):
         assert label.tolist() == brute(prints)
 
 
-@pytest.mark.parametrize("blocks", [5, 6, 7])
-def test_forest_over_all_tries(spark, monkeypatch, blocks):
+@pytest.mark.parametrize("blocks, hot", [(5, 100_000), (6, 100_000), (7, 100_000), (5, 6), (6, 0)])
+def test_forest_over_all_tries(spark, monkeypatch, blocks, hot):
     prints = family(blocks, 40, 12)
     monkeypatch.setattr(simhash, "blocks_for", lambda n: blocks)
+    monkeypatch.setattr(simhash, "HOT", hot)
     monkeypatch.setattr(simhash, "GATHER", 100)
     df = spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp long")
     got = {r.fp: r.root for r in simhash.components(simhash.forest(df, len(prints))).collect()}
@@ -95,3 +96,10 @@ def test_representatives(odd, nothing, docs):
 def test_long_families_make_no_pairs():
     prints = np.array(family(9, 1, 20_000, 3), np.uint64)
     assert set(simhash.trie_self_join(prints, np.array([0, len(prints)])).tolist()) == {0}
+
+
+def test_finer_parts_are_all_other_bits():
+    for blocks in (5, 6, 7, 8):
+        for mask in simhash.masks(blocks):
+            parts = simhash.finer(mask)
+            assert len(parts) == simhash.BUDGET + 1 and sum(parts) == (1 << 64) - 1 - mask and all(parts)
