@@ -33,11 +33,17 @@ def test_stages_and_result(spark, tiny, docs):
 
 
 def test_odd_tables_pass_through(spark, tiny, odd, nothing):
+    library = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     for df in (odd, nothing):
-        step = df
-        for _, stage in corpus_pipeline.STAGES:
-            step = stage(spark, step, tiny)
-        step.collect()
+        step, ids = df, [r.doc_id for r in df.collect()]
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            step = stage(spark, step, tiny).cache()
+            rows = step.collect()
+            assert step.columns == df.columns and {r.doc_id for r in rows} <= {*ids}, name
+            assert all(r.n_chars == len(r.text) for r in rows), name
+        got = sorted((r.doc_id or -1, r.n_tokens) for r in corpus_pipeline.encode(spark, step, tiny).collect())
+        assert got == sorted((r.doc_id or -1, len(library.encode(r.text, add_special_tokens=False).ids)) for r in step.collect())
+        assert bool(got) == bool(ids)
 
 
 def test_queries(spark, tiny, same_as_sql):
