@@ -16,6 +16,7 @@ class Settings:
 
     people_group: str = "geonames"
     domain: str | None = None
+    # Labels, thresholds and limits that results depend on.
     candidate_labels: tuple[str, ...] = ("clothing", "food", "drink", "tradition", "ritual")
     counter_labels: tuple[str, ...] = ("advertisement", "business", "politics")
     required_labels: tuple[str, ...] = ()

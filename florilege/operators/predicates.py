@@ -66,6 +66,7 @@ def _reliable(s: Settings) -> Column:
 #: Characters that count as digits: decimal digits, and super- and subscripts, circled and other digits.
 DIGIT = r"[\p{Nd}\x{B2}\x{B3}\x{B9}\x{1369}-\x{1371}\x{19DA}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}\x{2474}-\x{247C}\x{2488}-\x{2490}\x{24EA}\x{24F5}-\x{24FD}\x{24FF}\x{2776}-\x{277E}\x{2780}-\x{2788}\x{278A}-\x{2792}]"
 
+#: The names by which settings refer to rules.
 PREDICATES: dict[str, Predicate] = {
     "is-short-enough": lambda s: F.length(_strip()) <= s.max_length,
     "has-at-least-one-token": lambda s: _yes(F.size("toks") >= 1),

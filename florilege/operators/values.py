@@ -31,6 +31,7 @@ OCCUPATION_ENTITIES = ("PERSON", "NORP", "ORG", "GPE", "LOC", "LAW", "LANGUAGE",
 OCCUPATION_PRONOUNS = ("he", "she", "his", "her", "him")
 OCCUPATION_AUXILIARIES = ("were", "was", "have")
 OCCUPATION_WORDS = ("™", "lvl")
+# A pattern that a representative must not match.
 OCCUPATION_PATTERN = (
     r"\b(((nanny|childcare) agenc(y|ies))|(Four Seasons)|(Nanny McPhee)|(net nanny)|(Boss Design)|(Iyengar Yoga)|(Two Inch Astronaut)|(Hiawatha Care Center)|(Hilltop Manor)|(Reg Barber)"
     r"|(Elm Street Pomade)|(Crafted North)|(Jacques Bar)|(Flair Bartender)|(The Hitman's Bodyguard)|(Results:)|(Label:)|(Butcher Box)|(Belsize Park London)|(Jeepney routes)|(Top Cars)"
@@ -39,6 +40,7 @@ OCCUPATION_PATTERN = (
     r"|(the situation)|(Douglas-Sarpy)|(Sailor Pluto)|(Dacron)|(Dubarry's)|(Salesman:)|(Hyunn-Min)|(Casino Luck)|(NextGen Gaming)|(IGT)|(About Company Novomatic)|(BPH)|(Play'n Go)"
     r"|(Net Entertainment)|(Realtime Gaming))\b"
 )
+# Names that a representative must not hold.
 COMMON_NAMES = (
     "Smith Anderson Clark Wright Mitchell Johnson Thomas Rodriguez Lopez Perez Williams Jackson Lewis Hill Roberts Jones White Lee Scott Turner Brown Harris Walker Green Phillips Davis Martin Hall Adams Campbell "
     "Miller Thompson Allen Baker Parker Wilson Garcia Young Gonzalez Evans Moore Martinez Hernandez Nelson Edwards Taylor Robinson King Carter Collins James David Christopher George Ronald John Richard Daniel "
