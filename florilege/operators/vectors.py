@@ -31,7 +31,8 @@ def similar_counts(rows: DataFrame, key: str, vector: str, threshold: float, gro
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(key), F.col("n")).cast("int"))
     pair = [*groups, "b", "c"]
     left = dealt.select(*groups, key, "v", F.col("own").alias("b"), F.explode(F.sequence(F.col("own"), F.col("n") - 1)).alias("c"))
-    right = dealt.select(*groups, key, "v", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("b"), F.col("own").alias("c"))
+    # Columns of their own: both sides come from the same rows, and if these were joined, Spark takes a shared column for ambiguous.
+    right = dealt.select(*[F.col(c).alias(c) for c in [*groups, key, "v"]], F.explode(F.sequence(F.lit(0), F.col("own"))).alias("b"), F.col("own").alias("c"))
 
     def unit(found: pd.Series) -> np.ndarray:
         v = np.array(found.tolist(), np.float64)

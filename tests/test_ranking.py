@@ -87,6 +87,14 @@ def test_similar_counts_over_blocks(spark, monkeypatch):
     assert vectors.similar_counts(df.limit(0), "id", "v", 0.3).count() == 0
 
 
+def test_similar_counts_of_joined_rows(spark):
+    df = spark.createDataFrame([("a", "p", [1.0, 0.0]), ("b", "p", [0.9, 0.1]), ("c", None, [0.9, 0.1])], "id string, g string, v array<double>")
+    joined = df.join(df.select("id").distinct(), "id")
+    assert {r.id: r.df for r in vectors.similar_counts(joined, "id", "v", 0.8).collect()} == {"a": 3, "b": 3, "c": 3}
+    for rows in (df, joined):
+        assert {(r.id, r.g): r.df for r in vectors.similar_counts(rows, "id", "v", 0.8, ["g"]).collect()} == {("a", "p"): 2, ("b", "p"): 2, ("c", None): 1}
+
+
 def test_concepts_that_all_go_leave_the_row(spark):
     df = spark.createDataFrame([("1", "s1", ["food", "tea"]), ("2", "s2", ["tea"])], "id string, subject string, concepts array<string>")
     assert {r.id: r.concepts for r in ranking.good_concepts(df, "food", 2).collect()} == {"1": [], "2": []}
