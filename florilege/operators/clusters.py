@@ -12,52 +12,90 @@ from pyspark.sql import functions as F
 from florilege.runtime import prepare
 
 
+#: Cells of a block of gaps that a worker holds at once, in 4 bytes each.
+CELLS = 1 << 22
+
+
 def ward(vectors: np.ndarray, threshold: float) -> np.ndarray:
-    """Cluster numbers of unit vectors by Ward linkage, cut where merges reach the threshold.
+    """Cluster numbers of unit vectors by Ward linkage, cut where merges reach the threshold: the first member of each.
 
-    Nearest-neighbour chain over centroids and sizes: memory follows n times d, not n squared."""
+    In rounds, all pairs of clusters that are nearest to each other merge, and only clusters whose nearest one has merged look
+    again, by blocks of a matrix product; as a merge never comes nearer to others than its parts were, this is the tree of one
+    merge after another. Equal vectors are one point from the start, and clusters without one nearer than the threshold are done.
+    Memory follows n times d, not n squared."""
     n = len(vectors)
-    if n < 2:
-        return np.zeros(n, np.int64)
-    centre = np.array(vectors, np.float64)
-    size = np.ones(n)
-    alive = np.ones(n, bool)
-    owner = np.arange(n)
-    merges: list[tuple[float, int, int]] = []
-    chain: list[int] = []
-    left = n
-    while left > 1:
-        if not chain:
-            chain.append(int(np.argmax(alive)))
-        a = chain[-1]
-        gap = ((centre - centre[a]) ** 2).sum(axis=1) * (2 * size[a] * size / (size[a] + size))
-        gap[~alive] = np.inf
-        gap[a] = np.inf
-        b = int(np.argmin(gap))
-        if len(chain) > 1 and gap[chain[-2]] <= gap[b]:
-            b = chain[-2]
-            chain = chain[:-2]
-            merges.append((float(np.sqrt(gap[b])), a, b))
-            keep, gone = min(a, b), max(a, b)
-            total = size[a] + size[b]
-            centre[keep] = (size[a] * centre[a] + size[b] * centre[b]) / total
-            size[keep], alive[gone] = total, False
-            left -= 1
-        else:
-            chain.append(b)
-    for height, a, b in sorted(merges):
-        if height >= threshold:
+    if n < 2 or not threshold > 0:
+        return np.arange(n)
+    vectors = np.asarray(vectors, np.float64) + 0.0  # no negative zeros
+    sound = np.isfinite(vectors).all(axis=1)
+    if not sound.all():  # vectors that hold no number somewhere stay alone
+        label, some = np.arange(n), np.flatnonzero(sound)
+        label[some] = some[ward(vectors[some], threshold)]
+        return label
+    _, first, owner, size = np.unique(vectors, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(first)  # points by their first row
+    owner = np.argsort(order)[owner.ravel()]
+    first, centre, size = first[order], vectors[first[order]], size[order].astype(np.float64)
+    into = np.arange(len(centre))
+    at = np.arange(len(centre))  # the points that are live clusters, by first member
+    near, gap = np.zeros(len(centre), np.int64), np.full(len(centre), np.inf)
+    look = at
+    while len(at) > 1:
+        if len(look):
+            near[look], gap[look] = _nearest(centre, size, at, look)
+        at = at[np.sqrt(gap[at]) < threshold]
+        mutual = at[(near[near[at]] == at) & (at < near[at])]
+        if not len(mutual) and len(look) < len(at):  # ties only
+            look = at
+            continue
+        if not len(mutual):
             break
-        ra, rb = _root(owner, a), _root(owner, b)
-        owner[max(ra, rb)] = min(ra, rb)
-    return np.array([_root(owner, k) for k in range(n)])
-
-
-def _root(owner: np.ndarray, k: int) -> int:
-    while owner[k] != k:
-        owner[k] = owner[owner[k]]
-        k = int(owner[k])
-    return k
+        a, b = mutual, near[mutual]
+        total = size[a] + size[b]
+        centre[a] = (size[a, None] * centre[a] + size[b, None] * centre[b]) / total[:, None]
+        size[a], into[b] = total, a
+        merged = np.zeros(len(centre), bool)
+        merged[a] = merged[b] = True
+        at = at[into[at] == at]
+        look = at[merged[at] | merged[near[at]]]
+    for k in range(len(into)):  # a cluster goes into an earlier one
+        into[k] = into[into[k]]
+    return first[into[owner]]
+
+
+def _nearest(centre: np.ndarray, size: np.ndarray, at: np.ndarray, look: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each cluster of look the nearest other one of `at` (ties: the first) and the square of the height at which they merge.
+
+    Products in 4 bytes leave those that may be nearest, within the error of the products; differences in 8 bytes decide."""
+    near, gap = np.zeros(len(look), np.int64), np.full(len(look), np.inf)
+    if len(at) < 2:
+        return near, gap
+    points = centre[at]
+    square = (points**2).sum(axis=1)
+    one = np.ones(len(at))
+    right = np.column_stack((points, one, square)).astype(np.float32).T.copy()
+    share = (1 / size[at]).astype(np.float32)
+    error = 8 * (points.shape[1] + 4) * float(np.finfo(np.float32).eps) * float(square.max())
+    place = np.searchsorted(at, look)
+    step = max(1, CELLS // len(at))
+    for lo in range(0, len(look), step):
+        mine = place[lo : lo + step]
+        block = np.column_stack((-2 * points[mine], square[mine], one[mine])).astype(np.float32) @ right
+        block /= share[mine, None] + share
+        block[np.arange(len(mine)), mine] = np.inf
+        least = block.min(axis=1).astype(np.float64)
+        upto = least + error * size[at[mine]] + 1e-6 * np.abs(least)
+        row, col = np.nonzero(block <= upto[:, None].astype(np.float32))
+        exact = np.empty(len(row))
+        for k in range(0, len(row), 1 << 16):
+            i, j = at[mine[row[k : k + (1 << 16)]]], at[col[k : k + (1 << 16)]]
+            exact[k : k + (1 << 16)] = ((centre[j] - centre[i]) ** 2).sum(axis=1) * (2 * size[i] * size[j] / (size[i] + size[j]))
+        starts = np.searchsorted(row, np.arange(len(mine)))
+        least = np.minimum.reduceat(exact, starts)
+        best = np.flatnonzero(exact == least[row])
+        pick = best[np.unique(row[best], return_index=True)[1]]
+        near[lo : lo + step], gap[lo : lo + step] = at[col[pick]], least
+    return near, gap
 
 
 def clustered(rows: DataFrame, threshold: float, key: str = "node_id") -> DataFrame:
@@ -73,12 +111,15 @@ def clustered(rows: DataFrame, threshold: float, key: str = "node_id") -> DataFr
         length = np.linalg.norm(vectors, axis=1, keepdims=True)
         label = ward(np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0), threshold)
         ids = group["sentence_id"].to_numpy()
-        found = [ids[label == k] for k in dict.fromkeys(label)]
+        order = np.argsort(label, kind="stable")  # labels are first members, so clusters come in order of these
+        found = np.split(ids[order], np.flatnonzero(np.diff(label[order])) + 1)
         found.sort(key=len, reverse=True)
         return pd.DataFrame({key: group[key].iloc[0], "cluster_rank": range(1, len(found) + 1), "sentence_ids": [list(f) for f in found]})
 
     ids = rows.schema["sentence_id"].dataType.simpleString()
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kind}, cluster_rank int, sentence_ids array<{ids}>")
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, key).groupBy(key).applyInPandas(run, f"{key} {kind}, cluster_rank int, sentence_ids array<{ids}>")
 
 
 def top(rows: DataFrame, score: str, limit: int, key: str = "node_id") -> DataFrame:

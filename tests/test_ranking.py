@@ -30,6 +30,24 @@ def test_ward_is_naive_ward(seed, threshold):
     assert clusters.ward(points[:1], threshold).tolist() == [0] and len(clusters.ward(points[:0], threshold)) == 0
 
 
+def test_ward_looks_again_only_where_needed(monkeypatch):
+    looks, nearest = [], clusters._nearest
+    monkeypatch.setattr(clusters, "CELLS", 64)
+    monkeypatch.setattr(clusters, "_nearest", lambda centre, size, at, look: (looks.append(len(look)), nearest(centre, size, at, look))[1])
+    points = np.random.default_rng(6).normal(size=(60, 5))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    rows = np.concatenate([points, np.repeat(points[:3], 1000, axis=0), [[np.nan] * 5]])
+    label = clusters.ward(rows, 1.2)
+    naive = naive_ward(points, 1.2)
+    assert sum(looks) <= 4 * len(points)
+    weighed = clusters.ward(np.concatenate([points[:3], points[:3]]), 0.1).tolist()
+    assert weighed == [0, 1, 2, 0, 1, 2] and label[-1] == len(rows) - 1
+    assert all((label[60 + 1000 * k : 1060 + 1000 * k] == label[k]).all() for k in range(3))
+    plain = clusters.ward(points, 1.2)
+    assert sorted(sorted(np.flatnonzero(plain == k).tolist()) for k in set(plain)) == naive
+    assert clusters.ward(np.ones((5, 2)), 1.2).tolist() == [0] * 5 and clusters.ward(points, 0.0).tolist() == list(range(60))
+
+
 def test_clustered(spark):
     rows = [("n", str(k), k, [1.0, 0.01 * k] if k % 3 else [-1.0, 0.0]) for k in range(9)] + [("m", "x", 0, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "node_id string, sentence_id string, position int, embedding array<double>")
