@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from florilege.functions.text import tokens
 
 
+#: Bytes of aliases, as rows, up to which each executor gets them all.
+FEW = 1 << 23
+
+
 def normal(aliases: DataFrame) -> DataFrame:
     """node_id, alias, gram (the alias as lower-case tokens joined by blanks) and n, its tokens."""
     words = tokens(F.col("alias"))
@@ -18,10 +22,12 @@ def gazetteer_matches(sentences: DataFrame, aliases: DataFrame) -> DataFrame:
     """sentence_id, node_id, match_text, match_start and match_end (tokens, end exclusive) of every alias in every sentence, in any case, overlaps included.
 
     sentences have `words`, lower-case tokens. Places whose token begins an alias are joined first, so that only they make grams, of the
-    lengths that aliases with this token have; these are joined by equality. Spark broadcasts the aliases if they are few.
+    lengths that aliases with this token have; these are joined by equality. The aliases are broadcast if they are few as counted (estimates of
+    what a join makes of them grow with it), so that no places and no grams are shuffled.
     """
     known = normal(aliases)
-    longest = known.agg(F.max("n")).first()[0] or 0  # one number
+    longest, size = known.agg(F.max("n"), F.sum(F.octet_length("gram") + F.octet_length(F.col("node_id").cast("string")) + 64)).first()  # two numbers
+    near = F.broadcast if (size or 0) <= FEW else lambda rows: rows
     words = F.col("words")
     if not longest:
         return sentences.select("sentence_id").limit(0).selectExpr("sentence_id", "'' as node_id", "'' as match_text", "0 as match_start", "0 as match_end")
@@ -29,9 +35,9 @@ def gazetteer_matches(sentences: DataFrame, aliases: DataFrame) -> DataFrame:
     begins = known.groupBy(F.substring_index("gram", " ", 1).alias("first")).agg(F.collect_set("n").alias("lengths"))  # longest numbers at most
     ahead = F.transform(words, lambda _, i: F.slice(words, i + 1, longest))
     places = sentences.select("sentence_id", F.posexplode(ahead).alias("s", "ahead")).withColumn("first", F.get("ahead", F.lit(0)))
-    grams = places.join(begins, "first").select("sentence_id", "s", "ahead", F.explode("lengths").alias("n")).filter(F.size("ahead") >= F.col("n"))
+    grams = places.join(near(begins), "first").select("sentence_id", "s", "ahead", F.explode("lengths").alias("n")).filter(F.size("ahead") >= F.col("n"))
     grams = grams.select("sentence_id", "s", "n", F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ").alias("gram"))
-    found = grams.join(known.select("node_id", "gram"), "gram")
+    found = grams.join(near(known.select("node_id", "gram")), "gram")
     return found.select("sentence_id", "node_id", F.col("gram").alias("match_text"), F.col("s").alias("match_start"), (F.col("s") + F.col("n")).alias("match_end"))
 
 

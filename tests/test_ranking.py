@@ -74,6 +74,17 @@ def test_overlapping_aliases_and_first_match(spark):
     assert matching.gazetteer_matches(df, names.limit(0)).count() == 0
 
 
+def test_few_aliases_are_broadcast(spark, monkeypatch):
+    names = spark.createDataFrame([("Sunni Islam", "s"), ("Islam", "i")], "alias string, node_id string")
+    df = spark.range(20).select(F.col("id").alias("sentence_id"), F.array(F.lit("sunni"), F.lit("islam")).alias("words"))
+    plan = lambda found: found._jdf.queryExecution().executedPlan().toString()
+    few = matching.gazetteer_matches(df, names)
+    assert plan(few).count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan(few)
+    monkeypatch.setattr(matching, "FEW", 0)
+    many = matching.gazetteer_matches(df, names)
+    assert "SortMergeJoin" in plan(many) and sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect())) and few.count() == 40
+
+
 def test_diversity_at_the_ratio(spark):
     df = spark.createDataFrame([("k", "A", None), ("k", "b", ""), ("k", "a", None), ("j", "x", "http://a/"), ("j", "X", "http://b/")], "k string, text string, url string")
     got = {r.k: (r.n, r.n_texts, r.n_domains, r.diverse) for r in ranking.diversity(df, ["k"]).collect()}
