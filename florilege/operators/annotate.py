@@ -6,12 +6,21 @@ offline; they are no substitute in quality for a parser, an entailment model, a
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import re
+import unicodedata
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from florilege.functions.text import TOKEN, let, repaired, sentences, surface, unit
+from florilege.functions.text import TOKEN, repaired, sentences, surface, unit
+from florilege.runtime import prepare
 
 #: The closed word classes of the rule tagger.
 CLASSES = {
@@ -45,35 +54,96 @@ def leading(text: Column) -> Column:
     return F.when(word == "", F.array().cast("array<struct<i:int,text:string,lower:string,is_space:boolean>>")).otherwise(F.array(only))
 
 
-def part_of_speech(lower: Column, text: Column, i: Column) -> Column:
-    out = F.when(~lower.rlike(r"[\p{L}\p{N}]"), "PUNCT").when(lower.rlike("^[0-9]+$"), "NUM")
-    for pos, listed in CLASSES.items():
-        out = out.when(lower.isin(*listed.split()), pos)
-    out = out.when((F.length(lower) > 4) & lower.rlike("(ing|ed)$"), "VERB").when((i > 0) & text.rlike(r"^\p{Lu}"), "PROPN")
-    return out.otherwise("NOUN")
-
-
-def tag(pos: Column, lower: Column) -> Column:
-    return F.when(lower.isin(*PAST), "VBD").when((pos == "VERB") & lower.endswith("ing"), "VBG").when((pos == "VERB") & lower.endswith("ed"), "VBD").when(pos == "AUX", "VBZ").otherwise(pos)
+#: Beyond these characters Python's version of Unicode and the JVM's may differ; there the JVM says what is a letter and what is lower case.
+ODD = r"[^\x{0}-\x{86F}\x{2000}-\x{206F}\x{20A0}-\x{20BF}\x{3000}-\x{9FEF}\x{AC00}-\x{D7A3}]"
+WORDS = {word: pos for pos, listed in reversed(CLASSES.items()) for word in listed.split()}
+END = "(?:\r\n|[\n\r\x85\u2028\u2029])?"
+NUMBER, PARTICIPLE, PEOPLE, ADDRESS = re.compile(f"[0-9]+{END}"), re.compile(rf"(?:ing|ed){END}\Z"), re.compile(rf"(?:ans?|ese|ish){END}\Z"), re.compile(r"[\w.+-]+@[\w-]+\.\w", re.ASCII)
+NOTES = "toks array<struct<i:int,text:string,lower:string,pos:string,tag:string,dep:string,head:int,is_space:boolean,like_email:boolean>>, ents array<struct<start:int,end:int,text:string,label:string>>"
+#: Tokens that a worker annotates at once, but for a longer row.
+TOKENS = 1 << 18
+
+
+def _notes(text: str | None, lower: str | None, worded: bool, capital: bool, first: bool) -> tuple:
+    """lower, pos, tag, is_space, like_email and label of a token, as a sentence's first or later one."""
+    if text is None:
+        return None, "NOUN", "NOUN", None, None, "GPE"
+    if not worded:
+        pos = "PUNCT"
+    elif NUMBER.fullmatch(lower):
+        pos = "NUM"
+    else:
+        pos = WORDS.get(lower) or ("VERB" if len(lower) > 4 and PARTICIPLE.search(lower) else "PROPN" if capital and not first else "NOUN")
+    tag = "VBD" if lower in PAST else "VBG" if pos == "VERB" and lower.endswith("ing") else "VBD" if pos == "VERB" and lower.endswith("ed") else "VBZ" if pos == "AUX" else pos
+    return lower, pos, tag, not text.strip(" "), bool(ADDRESS.match(text)), "NORP" if PEOPLE.search(lower) else "GPE"
+
+
+@lru_cache(1 << 17)
+def _plain(text: str | None, first: bool) -> tuple:
+    return _notes(text, text and text.lower(), any(unicodedata.category(c)[0] in "LN" for c in text or ""), unicodedata.category((text or " ")[0]) == "Lu", first)
+
+
+def _annotated(tokens: pa.Array, odd: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """toks and ents of rows of tokens; odd has lower, worded and capital of the tokens of rows with characters that the JVM decides on."""
+    n, length = len(tokens), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(length)
+    text = tokens.flatten()
+    row = np.repeat(np.arange(n), length)
+    i = np.arange(len(text)) - np.repeat(ends - length, length)
+    coded = text.dictionary_encode()
+    word = pc.fill_null(coded.indices, len(coded.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+    seen = [*coded.dictionary.to_pylist(), None]
+    known = [_plain(t, first) for first in (False, True) for t in seen]
+    at = word + len(seen) * (i == 0)
+    for r in np.flatnonzero(odd.is_valid().to_numpy(zero_copy_only=False)):
+        for k, x in enumerate(odd[int(r)].as_py()):
+            place = int(ends[r] - length[r]) + k
+            at[place] = len(known)
+            known.append(_notes(seen[word[place]], x["lower"], x["worded"], x["capital"], k == 0))
+    lower, pos, tag, space, address, label = zip(*known)
+    among = lambda *listed: np.fromiter((p in listed for p in pos), bool, len(pos))
+    root, subject = np.zeros(n, np.int64), np.full(n, -1)
+    found = np.flatnonzero(among("AUX", "VERB")[at])[::-1]
+    root[row[found]] = i[found]  # the first, which is written last
+    found = np.flatnonzero(among("NOUN", "PROPN", "PRON")[at] & (i < root[row]))
+    subject[row[found]] = i[found]
+    dep = np.where(i == root[row], 0, np.where(i == subject[row], 1, 2))
+    take = lambda values, kind, places: pa.array(values, kind).take(pa.array(places))
+    whole = lambda x: pa.array(x, pa.int32())
+    fields = {"i": whole(i), "text": text, "lower": take(lower, pa.string(), at), "pos": take(pos, pa.string(), at), "tag": take(tag, pa.string(), at), "dep": take(["ROOT", "nsubj", "dep"], pa.string(), dep)}
+    fields |= {"head": whole(root[row]), "is_space": take(space, pa.bool_(), at), "like_email": take(address, pa.bool_(), at)}
+    name = np.flatnonzero(among("PROPN")[at])
+    names = {"start": whole(i[name]), "end": whole(i[name] + 1), "text": text.take(pa.array(name)), "label": take(label, pa.string(), at[name])}
+    listed = lambda x, upto: pa.ListArray.from_arrays(whole(np.concatenate([[0], upto])), pa.StructArray.from_arrays(list(x.values()), list(x)), mask=tokens.is_null())
+    return listed(fields, ends), listed(names, np.cumsum(np.bincount(row[name], minlength=n)))
 
 
 def rule_annotator(rows: DataFrame) -> DataFrame:
     """toks and ents for rows with tokens. The root is the first auxiliary or verb, else the first token; the last noun
-    or pronoun before it is its subject; all tokens hang from the root. Capitals within a sentence are entities."""
-    lower = F.zip_with(F.col("tokens"), F.transform("tokens", F.lower), lambda t, low: F.struct(t.alias("t"), low.alias("l")))
-    words = F.transform(lower, lambda x, i: F.struct(i.cast("int").alias("i"), x["t"].alias("text"), x["l"].alias("lower"), part_of_speech(x["l"], x["t"], i).alias("pos")))
-    rows = rows.withColumn("_w", words)
-    root = F.coalesce(F.array_min(F.transform(F.filter("_w", lambda t: t["pos"].isin("AUX", "VERB")), lambda t: t["i"])), F.lit(0))
-    rows = rows.withColumn("_root", root)
-    subject = F.array_max(F.transform(F.filter("_w", lambda t: t["pos"].isin("NOUN", "PROPN", "PRON") & (t["i"] < F.col("_root"))), lambda t: t["i"]))
-
-    def token(t: Column, at: Column) -> Column:
-        dep = F.when(t["i"] == F.col("_root"), "ROOT").when(t["i"] == at, "nsubj").otherwise("dep")
-        return F.struct(t["i"].alias("i"), t["text"].alias("text"), t["lower"].alias("lower"), t["pos"].alias("pos"), tag(t["pos"], t["lower"]).alias("tag"), dep.alias("dep"), F.col("_root").cast("int").alias("head"), (F.trim(t["text"]) == "").alias("is_space"), t["text"].rlike(r"^[\w.+-]+@[\w-]+\.\w").alias("like_email"))
-
-    ents = F.transform(F.filter("_w", lambda t: t["pos"] == "PROPN"), lambda t: F.struct(t["i"].alias("start"), (t["i"] + 1).cast("int").alias("end"), t["text"].alias("text"), F.when(t["lower"].rlike("(ans?|ese|ish)$"), "NORP").otherwise("GPE").alias("label")))
-    toks = let(F.coalesce(subject, F.lit(-1)), lambda at: F.transform("_w", lambda t: token(t, at)))  # once a sentence, not once a token
-    return rows.withColumns({"toks": toks, "ents": ents}).drop("_w", "_root")
+    or pronoun before it is its subject; all tokens hang from the root. Capitals within a sentence are entities.
+
+    By Arrow batches, where each distinct token is looked at once; what reads toks doesn't annotate again."""
+    prepare(rows.sparkSession)
+    says = F.transform("tokens", lambda t: F.struct(F.lower(t).alias("lower"), t.rlike(r"[\p{L}\p{N}]").alias("worded"), t.rlike(r"^\p{Lu}").alias("capital")))
+    shape = StructType([f for f in rows.schema if f.name not in ("toks", "ents")] + list(_parse_datatype_string(NOTES)))
+    kept = [f.name for f in shape][:-2]
+    arrow = to_arrow_schema(shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("tokens")
+            upto = np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < batch.num_rows:
+                before = upto[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(upto, before + TOKENS, "right")))
+                part = batch.slice(lo, hi - lo)
+                notes = _annotated(part.column("tokens"), part.column("_odd"))
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*(part.column(k) for k in range(len(kept))), *notes], arrow)], schema=arrow)
+                lo = hi
+        pa.default_memory_pool().release_unused()
+
+    return rows.select(*[F.col(f"`{k}`") for k in kept], F.when(F.array_join("tokens", "").rlike(ODD), says).alias("_odd")).mapInArrow(run, shape)
 
 
 def lexicon_scorer(lexicons: dict[str, list[str]]) -> Callable[[DataFrame], DataFrame]:

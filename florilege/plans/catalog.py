@@ -117,8 +117,8 @@ TOKEN_SHAPE = "array<struct<i:int,text:string,lower:string,pos:string,tag:string
 
 
 def noted(rows: DataFrame) -> DataFrame:
-    """Annotated rows, written: filters on them then read columns instead of annotating again in each."""
-    return written(annotate.rule_annotator(rows.withColumn("tokens", T.surface(F.col("text")))), "annotated")
+    """Annotated rows; filters on them read columns, as the annotator's batches are not looked through."""
+    return annotate.rule_annotator(rows.withColumn("tokens", T.surface(F.col("text"))))
 
 
 @query(f"WITH {SENT_SQL}, {SEED_SQL} SELECT doc_id, sent_i, " + ", ".join(f'({sql}) AS "{name}"' for name, sql in PLAIN_SQL.items()) + " FROM v")
@@ -179,7 +179,8 @@ def noun_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {SENT_SQL}, {NOTED_SQL} SELECT doc_id, sent_i, t AS match_text, i::INT AS match_start, 'capital' AS node_id FROM an WHERE pos = 'PROPN'""")
 def entity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = noted(seeded(spark, sf_dir)).withColumn("sentence_id", F.struct("doc_id", "sent_i"))
+    rows = noted(seeded(spark, sf_dir)).filter(F.size("ents") > 0).select(F.struct("doc_id", "sent_i").alias("sentence_id"), "ents")
+    rows = written(rows, "entities")  # read twice
     names = rows.select(F.explode("ents").alias("e")).select(F.lower("e.text").alias("alias")).distinct().withColumn("node_id", F.lit("capital"))
     return matching.entity_matches(rows, names).select("sentence_id.doc_id", "sentence_id.sent_i", "match_text", "match_start", "node_id")
 

@@ -83,3 +83,18 @@ pipeline_components:
     assert (s.people_group, s.candidate_labels, s.required_labels, s.max_length, s.excluded_filters, s.cluster_limit, s.overwrite_reps, s.overwrite_labels) == ("occupations", ("food",), ("food",), 77, ("com",), 9, False, True)
     with pytest.raises(ValueError):
         parse_settings("no_such: 1")
+
+
+def test_annotation_is_done_once_by_batches(spark, monkeypatch):
+    monkeypatch.setattr(annotate, "TOKENS", 3)
+    odd = [None, [], ["Ⴀ", "ing", "A"], ["", "a", None], ["ＡB", "Was", "Jöhn", "a@b.c"], ["Ꟁ", "Ꟁb", "Ᲊing", "5"], ["Rice", "Ghanaians", "eat", "is"]]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "k int, tokens array<string>")
+    noted = annotate.rule_annotator(rows)
+    picked = noted.filter(F.size("toks") > 0).select("k", F.transform("toks", lambda t: t["pos"]).alias("p"), F.col("toks")[0]["head"].alias("root"), F.size("ents").alias("n"))
+    assert picked._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r.k: (r.p, r.root, r.n) for r in picked.collect()}
+    assert got == {
+        2: (["NOUN", "NOUN", "DET"], 0, 0), 3: (["PUNCT", "DET", "NOUN"], 0, 0), 4: (["NOUN", "AUX", "PROPN", "NOUN"], 1, 1),
+        5: (["PUNCT", "NOUN", "NOUN", "NUM"], 0, 0), 6: (["NOUN", "PROPN", "NOUN", "AUX"], 3, 1),
+    }
+    assert [r.toks for r in noted.filter("k < 2").orderBy("k").collect()] == [None, []]
