@@ -7,7 +7,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -163,9 +163,18 @@ def mends(text: str | None) -> str | None:
     return unicodedata.normalize("NFC", out).strip()
 
 
-@F.pandas_udf(StringType())
-def repaired(text: pd.Series) -> pd.Series:
-    return text.map(mends)
+#: Texts that a worker turns into Python's strings at once; a batch holds up to 10,000.
+SLICE = 64
+
+
+def _sliced(texts: pa.Array, function: Callable[[str | None], str | None]) -> pa.Array:
+    parts = [pa.array([function(t) for t in texts.slice(k, SLICE).to_pylist()], pa.string()) for k in range(0, len(texts), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+@F.arrow_udf(StringType())
+def repaired(text: pa.Array) -> pa.Array:
+    return _sliced(text, mends)
 
 
 #: Letters that have no decomposition, and their usual spelling in ASCII.
@@ -177,8 +186,8 @@ def transliterated(text: Column) -> Column:
     return _ascii(text)
 
 
-@F.pandas_udf(StringType())
-def _ascii(text: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def _ascii(text: pa.Array) -> pa.Array:
     table = str.maketrans(SPELLED)
     plain = lambda t: None if t is None else unicodedata.normalize("NFKD", t.translate(table)).encode("ascii", "ignore").decode()
-    return text.map(plain)
+    return _sliced(text, plain)

@@ -66,3 +66,10 @@ def test_repair_and_transliteration(spark):
     assert T.mends(None) is None
     assert value(spark, T.transliterated(F.col("t")), t=("Łódź Straße", "string")) == "Lodz Strasse"
     assert value(spark, T.repaired(F.col("t")), t=(" a ", "string")) == "a"
+
+
+def test_repair_holds_few_texts_at_once():
+    import pyarrow as pa
+
+    got = T._sliced(pa.array([f" {k}" if k % 7 else None for k in range(200)]), T.mends)
+    assert got.to_pylist() == [str(k) if k % 7 else None for k in range(200)] and T._sliced(pa.array([], pa.string()), T.mends).to_pylist() == []
